@@ -1,8 +1,17 @@
 """Queries of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
+from grovespark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from grovespark.llm.mixing import op8_mixing
+from grovespark.llm.packing import op10_best_fit_packing
 from grovespark.llm.quality_rules import op7_quality_rules
 from grovespark.llm.sharding import op6_sharding
 
-QUERIES = {"op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules}
+QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
+    "op6_sharding": op6_sharding,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_mixing": op8_mixing,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
