@@ -99,7 +99,7 @@ def log_ratio(docs: DataFrame, trusted_ids: DataFrame) -> np.ndarray:
     return np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * size)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * size))
 
 
-def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
     """Judge every document.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -118,11 +118,15 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = TH
                 g, many = grams(s)
                 score = np.bincount(np.repeat(np.arange(s.n), many), ratio[g], s.n) / np.maximum(many, 1)
                 failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
-                out = [b.column(0).slice(s.lo, s.n), *c.values(), failed, score, ~failed & (score >= threshold)]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], ["doc_id", *c, "base_failed", "llr", "kept"])
+                out = [b.column(0).slice(s.lo, s.n), *c.values(), failed, score, ~failed & (score >= threshold), *[x.slice(s.lo, s.n) for x in b.columns[2:]]]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], ["doc_id", *c, "base_failed", "llr", "kept", *b.schema.names[2:]])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
-    return clean(docs, "doc_id", "text").mapInArrow(judge, schema)
+    own = clean(docs, "doc_id", "text")
+    if not carry:
+        return own.mapInArrow(judge, schema)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("document"))
+    return own.mapInArrow(judge, f"{schema}, document {own.schema['document'].dataType.simpleString()}")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
