@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grovespark.llm.exact_dedup import exact_dedup, normalised
-from grovespark.llm.frames import documents
+from grovespark.llm.frames import carried, documents, released
 from grovespark.llm.mixing import mix
 from grovespark.llm.ngram_join import jaccard_classes
 from grovespark.llm.packing import pack
@@ -16,26 +16,26 @@ from grovespark.runtime import stored
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the trusted target is the documents labelled good."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    return quality_rules(docs, trusted, carry=True).where("kept").select("document.*")
+    return released(quality_rules(docs, trusted, carry=True).where("kept"), docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the smallest doc_id."""
     result = stored(exact_dedup(docs), "dedup")
     kept = result.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_text", F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    marked = carried(docs, "doc_id", "text").withColumn("_text", F.sha2(normalised(F.col("text")).cast("binary"), 256))
     out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")), "left_semi")
     again = result.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("text_sha256").count().where("count > 1").select(F.col("text_sha256").alias("_sha"))
     if not again.isEmpty():  # rows that repeat both id and text
         same = F.col("_text") == F.col("_sha")
         out = out.join(again, same, "left_anti").union(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text"]))
-    return out.select(*docs.columns)
+    return released(out, docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one with the smallest doc_id."""
     kept = jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    return released(carried(docs, "doc_id").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix(docs)[0].groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg((F.sum("taken") / F.sum("size")).alias("_rate"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
     times = F.floor(F.col("_rate") + 0.5).cast("int")
-    return docs.join(taken.where("_rate >= 0.5"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return released(carried(docs, "doc_id", "source").join(taken.where("_rate >= 0.5"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

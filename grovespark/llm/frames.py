@@ -69,7 +69,41 @@ def placed(df: DataFrame, group: list[str], order: list[str], value: Column | No
     return y.join(starts, on, "left").withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_bucket", "_value", "_inside", "_b", "_start", *[f"_g{i}" for i in range(len(group))])
 
 
-def clean(df: DataFrame, *names: str) -> DataFrame:
+_KINDS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string"}
+
+
+def _numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Columns renamed by place, so that names that clash (in upper and lower case, say) can be told apart."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
+def _own(df: DataFrame, names: list[str], n: str) -> Column:
+    return (F.col(names[df.columns.index(n)]) if n in df.columns else F.lit(None)).cast(_KINDS[n]).alias(n)
+
+
+def clean(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the named columns; missing ones come as null. Extra columns, clashing names included, play no part."""
-    kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string"}
-    return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names])
+    x, names = _numbered(df)
+    return x.select(*[_own(df, names, n) for n in wanted])
+
+
+def carried(df: DataFrame, *wanted: str) -> DataFrame:
+    """The named columns, and the whole row as a struct ``document`` that :func:`released` gives back."""
+    x, names = _numbered(df)
+    return x.select(*[_own(df, names, n) for n in wanted], F.struct(*names).alias("document"))
+
+
+def released(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select("document.*").toDF(*like.columns)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int, train: Column) -> DataFrame:
+    """doc_id, text and label (0 or 1) of at most ``most`` labelled training documents, those with the smallest hash of their id.
+
+    Rows without an id or a label don't count; an id labelled twice has the
+    greater label. The bound on the labels is the bound of their broadcast.
+    """
+    few = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).where(train)
+    few = few.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return clean(docs, "doc_id", "text").join(F.broadcast(few), "doc_id")

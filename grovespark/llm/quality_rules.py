@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from grovespark.llm.frames import clean, documents, summed
+from grovespark.llm.frames import carried, clean, documents, summed
 from grovespark.llm.textops import Slice, slices, strings, table_rows
 
 #: n-grams are runs of NGRAM bytes, hashed to 2**BITS buckets.
@@ -125,7 +125,7 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = TH
     own = clean(docs, "doc_id", "text")
     if not carry:
         return own.mapInArrow(judge, schema)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("document"))
+    own = carried(docs, "doc_id", "text")
     return own.mapInArrow(judge, f"{schema}, document {own.schema['document'].dataType.simpleString()}")
 
 

@@ -4,12 +4,16 @@ from grovespark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from grovespark.llm.mixing import op8_mixing
 from grovespark.llm.ngram_join import op4_ngram_jaccard_join
 from grovespark.llm.packing import op10_best_fit_packing
+from grovespark.llm.quality_classifier import op1_quality_classifier
 from grovespark.llm.quality_rules import op7_quality_rules
 from grovespark.llm.sharding import op6_sharding
+from grovespark.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,

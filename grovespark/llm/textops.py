@@ -88,17 +88,22 @@ class Words:
         self.ends = np.flatnonzero(end) + 1
         self.bounds = np.searchsorted(self.starts, s.offs)  # words lo..hi of each text
         self.counts = np.diff(self.bounds)
+        self._total: np.ndarray | None = None
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.s.n), self.counts)
 
     def hashes(self) -> np.ndarray:
         """Of the bytes of each word; equal words have equal hashes wherever they stand."""
+        return self.range_hashes(self.starts, self.ends)
+
+    def range_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(self.data)
         up, down = powers(n)
-        total = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE[self.data] * up[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(_U))
+        if self._total is None:
+            self._total = np.zeros(n + 1, _U)
+            np.cumsum(_BYTE[self.data] * up[:n], out=self._total[1:])
+        return mix((self._total[ends] - self._total[starts]) * down[starts] + (ends - starts).astype(_U))
 
     def runs(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of ``k`` words inside one text: hashes, index of their first word, runs by text."""
