@@ -1,6 +1,7 @@
 """Queries of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
 from grovespark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from grovespark.llm.language_id import op9_language_id
 from grovespark.llm.mixing import op8_mixing
 from grovespark.llm.ngram_join import op4_ngram_jaccard_join
 from grovespark.llm.packing import op10_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
