@@ -2,6 +2,7 @@
 
 from grovespark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from grovespark.llm.language_id import op9_language_id
+from grovespark.llm.lm_scoring import op2_lm_scoring
 from grovespark.llm.mixing import op8_mixing
 from grovespark.llm.ngram_join import op4_ngram_jaccard_join
 from grovespark.llm.packing import op10_best_fit_packing
@@ -12,6 +13,7 @@ from grovespark.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_toxicity": op5_toxicity,
