@@ -14,22 +14,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grovespark.llm.frames import clean, documents
-from grovespark.llm.textops import Slice, blobs, longs, mix, slices, strings
+from grovespark.llm.textops import Slice, blobs, longs, mix, slices, strings, trimmed
 from grovespark.operators.components import connected_components
 from grovespark.runtime import stored, width
 
 SHINGLE, PERCENT = 5, 75
 #: Bytes of text and documents that a map task exchanges at once.
-CHUNK, CHUNK_DOCS = 8 << 20, 50_000
+CHUNK, CHUNK_DOCS = 6 << 20, 50_000
 #: A shingle of more documents than this is of a frequent class.
 FREQUENT = 32
 #: Frequent shingles of a prefix up to which all their pairs are indexed; a set with more indexes them one by one.
 WIDE = 64
 #: Rounds of star candidates, before all pairs across components that are left.
-STARS = 3
+STARS = 2
 _U = np.uint64
 _BITS = _U(48)
 _MASK = _U((1 << 48) - 1)
@@ -162,14 +162,13 @@ def _counter(parts: int):
         if not chunks:
             return
         tok = np.concatenate(toks)
-        del toks
+        del toks, a, hi, lo, b
         order = np.argsort(tok)
         tok = tok[order]
-        new = np.concatenate([[True], tok[1:] != tok[:-1]])
-        df = np.diff(np.append(np.flatnonzero(new), len(tok)))
-        df = np.repeat(df, df)
-        keep = df >= 2
-        order, tok, df = order[keep], tok[keep], df[keep]
+        cut = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1], [True]]))
+        many = np.diff(cut)
+        keep = np.repeat(many >= 2, many)
+        order, tok, df = order[keep], tok[keep], np.repeat(many, many)[keep]
         own, doc = np.concatenate(owner)[order], np.concatenate(docs)[order]
         by = np.argsort(own, kind="stable")
         own, doc, tok, df = own[by], doc[by], tok[by], df[by]
@@ -233,35 +232,84 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single shingles of each prefix."""
+    """Shingles of each prefix and the one after it: their place in the set's order, whether they are frequent, how central the set is.
+
+    A set is the more central the more its shingles are shared: of a group of
+    near copies, the one they were made from.
+    """
     for b in batches:
-        node, n, prefix, tokens = longs(b, "node")[0], longs(b, "n")[0], longs(b, "prefix")[0], blobs(b, "tokens", _U)
+        node, n, prefix, tokens, freqs = longs(b, "node")[0], longs(b, "n")[0], longs(b, "prefix")[0], blobs(b, "tokens", _U), blobs(b, "freqs", np.uint32)
         if len(node):
+            prefix = np.minimum(prefix + 1, [len(t) for t in tokens])
             toks = np.concatenate([t[:p] for t, p in zip(tokens, prefix.tolist())])
-            yield pa.RecordBatch.from_arrays([pa.array(toks.view(np.int64)), pa.array(np.repeat(node, prefix)), pa.array(np.repeat(n, prefix))], ["token", "node", "n"])
+            often = np.concatenate([f[:p] for f, p in zip(freqs, prefix.tolist())]) > FREQUENT
+            place = np.concatenate([np.arange(p) + (k - len(t)) for t, p, k in zip(tokens, prefix.tolist(), n.tolist())])
+            centre = np.array([np.log2(f).sum() / k for f, k in zip(freqs, n.tolist())])
+            yield pa.RecordBatch.from_arrays([pa.array(toks.view(np.int64)), pa.array(np.repeat(node, prefix)), pa.array(np.repeat(n, prefix)), pa.array(place), pa.array(often), pa.array(np.repeat(centre, prefix))], ["token", "node", "n", "place", "often", "centre"])
+
+
+#: Smallest set size of each size class.
+_SIZES = np.unique(np.ceil(1.1 ** np.arange(300)).astype(np.int64))
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of the last step: rare shingles of the extended prefix, pairs of its frequent ones.
+def size_class(n: int) -> int:
+    return int(np.searchsorted(_SIZES, n, "right")) - 1
 
-    ``mode`` 0 meets any set with the key; 1, a frequent shingle by itself, only
-    counts if one of the two sets has too many frequent shingles for pairs.
+
+def _indexer(singles: bool, present: frozenset[int]):
+    """Keys of the last step, for each class of partner sizes: rare shingles of the prefix, pairs of frequent ones of the extended prefix.
+
+    The greater the partner, the shorter the prefix in which both must meet.
+    ``mode`` 0 meets any set with the key; 1, a frequent shingle by itself (only
+    with ``singles``), counts if one of the two sets has too many for pairs.
+    ``room`` is how many shingles two sets can have in common that first meet here;
+    ``side`` tells the smaller class from the greater. ``present``: classes there are.
     """
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "mode", "node", "n", "component", "wide", "room", "side"]
+        for b in batches:
+            node, n, comp = (longs(b, k)[0] for k in ("node", "n", "component"))
+            lists = [b.column(b.schema.get_field_index(k)) for k in ("place", "token", "often")]
+            rows: list[list[np.ndarray]] = [[] for _ in names]
+            for k, (place, tok, often) in enumerate(zip(*([np.asarray(x.values) for x in col] for col in lists))):
+                size, tok = int(n[k]), tok.view(_U)
+                own = size_class(size)
+                for c in range(size_class(least_overlap(size)), size_class(100 * size // PERCENT) + 1):
+                    if c not in present:
+                        continue
+                    other = max(int(_SIZES[c]), least_overlap(size))
+                    need = -(-PERCENT * (size + other) // (100 + PERCENT))  # the least intersection with a set of that size
+                    last = size - need
+                    rare = np.flatnonzero(~often & (place <= last))
+                    hot = np.flatnonzero(often & (place <= last + 1))
+                    wide = len(hot) > WIDE
+                    i, j = np.triu_indices(0 if wide else len(hot), 1)
+                    lo, hi = np.minimum(tok[hot[i]], tok[hot[j]]), np.maximum(tok[hot[i]], tok[hot[j]])
+                    single = hot[place[hot] <= last] if singles else hot[:0]
+                    key = np.concatenate([tok[rare], mix(lo * _U(0x9E3779B97F4A7C15) + mix(hi)) | _U(1 << 63), tok[single]])
+                    if len(key):
+                        rows[0].append(mix(key ^ mix(np.array([min(own, c) << 20 | max(own, c)], _U))[0]).view(np.int64))
+                        rows[1].append(np.repeat(np.array([0, 1], np.int8), [len(rare) + len(i), len(single)]))
+                        rows[6].append(size - np.concatenate([place[rare], place[hot[j]] - 1, place[single]]))
+                        for col, v in ((2, node[k]), (3, size), (4, comp[k]), (5, wide), (7, np.int8((own > c) - (own < c)))):
+                            rows[col].append(np.full(len(key), v))
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], names)
+
+    return index
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(sorted({size_class(x) for x in longs(b, "n")[0].tolist()}), pa.int32())], ["class"])
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each set with more frequent shingles in its prefix than WIDE."""
     for b in batches:
-        node, n, prefix, comp = (longs(b, k)[0] for k in ("node", "n", "prefix", "component"))
-        for k, (tok, df) in enumerate(zip(blobs(b, "tokens", _U), blobs(b, "freqs", np.uint32))):
-            p = int(prefix[k])
-            often = df > FREQUENT
-            rare = tok[: p + 1][~often[: p + 1]]
-            hot = np.sort(tok[: p + 1][often[: p + 1]])
-            single = tok[:p][often[:p]]
-            wide = len(hot) > WIDE
-            i, j = np.triu_indices(0 if wide else len(hot), 1)
-            pairs = mix(hot[i] * _U(0x9E3779B97F4A7C15) + mix(hot[j]))
-            key = np.concatenate([rare, pairs | _U(1 << 63), single]).view(np.int64)
-            mode = np.concatenate([np.zeros(len(rare) + len(pairs), np.int8), np.ones(len(single), np.int8)])
-            full = lambda v, t: pa.array(np.full(len(key), v), t)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mode), full(node[k], pa.int64()), full(n[k], pa.int64()), full(comp[k], pa.int64()), full(wide, pa.bool_())], ["key", "mode", "node", "n", "component", "wide"])
+        many = sum(sum(np.asarray(x.values)) > WIDE for x in b.column(b.schema.get_field_index("often")))
+        yield pa.RecordBatch.from_arrays([pa.array([1] * int(many), pa.int32())], ["wide"])
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -277,20 +325,20 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     other columns are ignored.
 
     Equal sets count as one node. Nodes that share a prefix shingle are first
-    compared with one pivot per shingle, in STARS rounds (linear in postings);
+    compared with one pivot per shingle, the most central set, in STARS rounds (linear in postings);
     then all pairs that share an index key but no component are compared, so that
     a group of m similar documents costs m comparisons and not m squared.
     """
     spark = docs.sparkSession
-    parts = width(spark)
-    sent = clean(docs, "doc_id", "text").mapInArrow(_sender(parts), _SENT)
-    counted = sent.repartitionById(parts, F.col("target")).mapInArrow(_counter(parts), _SENT)
-    rows = stored(counted.repartitionById(parts, F.col("target")).mapInArrow(_select, _FOUND), "sets")
+    parts = 2 * width(spark)
+    sent = clean(docs, "doc_id", "text").mapInArrow(trimmed(_sender(parts)), _SENT)
+    counted = sent.repartitionById(parts, F.col("target")).mapInArrow(trimmed(_counter(parts)), _SENT)
+    rows = stored(counted.repartitionById(parts, F.col("target")).mapInArrow(trimmed(_select), _FOUND), "sets")
 
     few = rows.where("prefix > 0")
     order = Window.partitionBy("s1", "s2").orderBy("doc_id")
     nodes = stored(few.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "prefix", "tokens", "freqs"), "nodes")
-    posts = stored(nodes.select("node", "n", "prefix", "tokens").mapInArrow(_postings, "token long, node long, n long"), "postings")
+    posts = stored(nodes.select("node", "n", "prefix", "tokens", "freqs").mapInArrow(_postings, "token long, node long, n long, place long, often boolean, centre double"), "postings")
     sets = nodes.select("node", "n", "tokens")
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -298,22 +346,25 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         both = left.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
         return both.mapInArrow(_verify, "a long, b long")
 
-    def close(a: str, b: str):
-        return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT) & (F.col("a") != F.col("b"))
+    def possible(na: str, nb: str, room: Column) -> Column:
+        """Sizes are close, and no fewer shingles can be common than a similar pair has."""
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT) & (room * (100 + PERCENT) >= (F.col(na) + F.col(nb)) * PERCENT)
+
+    def classes_of(links: DataFrame) -> DataFrame:
+        near = connected_components(links, "a", "b")
+        return nodes.select("node").join(near, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
     links = tried = None
     comps = nodes.select("node", F.col("node").alias("component"))
     for k in range(STARS):
-        now = posts if k == 0 else posts.join(comps, "node")
-        if k:
-            # Tokens that still join several components; a new pivot for each.
+        now = posts.withColumn("component", F.col("node")) if k == 0 else posts.join(comps, "node")
+        if k:  # tokens that still join several components; another pivot for each
             open_tokens = now.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("token")
             now = now.join(open_tokens, "token")
-        else:
-            now = now.withColumn("component", F.col("node"))
-        best = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("component", F.lit(k)).alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))).alias("p"), F.count("*").alias("m")).where("m > 1").select("token", "p.a", "p.na", "p.ca")
-        pairs = now.join(best, "token").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "n", "na", F.col("component") != F.col("ca")).toDF("a", "b", "n", "na", "apart")
-        pairs = pairs.where(F.col("apart") & (F.least("n", "na") * 100 >= F.greatest("n", "na") * PERCENT)).select("a", "b").distinct()
+        chosen = F.col("centre") if k == 0 else F.xxhash64("component", F.lit(k)).cast("double")
+        best = now.groupBy("token").agg(F.max(F.struct(chosen.alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))).alias("p"), F.count("*").alias("m")).where("m > 1").select("token", "p.a", "p.na", "p.ca", "p.pa")
+        room = F.least(F.col("na") - F.col("pa"), F.col("n") - F.col("place"))
+        pairs = now.join(best, "token").where((F.col("component") != F.col("ca")) & possible("n", "na", room)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -322,24 +373,27 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.union(pairs)
         found = stored(similar(pairs), "links")
         links = found if links is None else links.union(found)
-        near = connected_components(links, "a", "b")
-        comps = stored(nodes.select("node").join(near, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+        comps = stored(classes_of(links), "components")
 
     left = posts.join(comps, "node")
     open_tokens = left.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("token")
-    open_nodes = left.join(open_tokens, "token", "left_semi").select("node").distinct()
-    keys = nodes.join(open_nodes, "node", "left_semi").join(comps, "node").select("node", "n", "prefix", "tokens", "freqs", "component").mapInArrow(_index, "key long, mode byte, node long, n long, component long, wide boolean")
-    keys = stored(keys, "index")
-    useful = keys.groupBy("key", "mode").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.max("wide").alias("_wide")).where("_lo < _hi AND (mode = 0 OR _wide)").select("key", "mode")
-    keys = keys.join(useful, ["key", "mode"], "left_semi")
-    l, r = (keys.select("key", "mode", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
-    pairs = l.join(r, ["key", "mode"]).where("a < b AND ca <> cb AND (mode = 0 OR wa OR wb)").where(close("na", "nb")).select("a", "b").distinct()
+    lists = left.join(open_tokens, "token").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("place", "token", "often"))).alias("x"))
+    lists = stored(lists.select("node", "n", "component", "x.place", "x.token", "x.often"), "open")
+    singles = not lists.mapInArrow(_wide, "wide int").isEmpty()
+    present = frozenset(r[0] for r in lists.select("n").mapInArrow(_classes, "class int").distinct().collect())  # a few hundred at most
+    keys = stored(lists.mapInArrow(_indexer(singles, present), "key long, mode byte, node long, n long, component long, wide boolean, room long, side byte"), "index")
+    # Of a key's components, the largest needs no pairs of its own: the others meet it and each other.
+    by = keys.groupBy("key", "mode", "component").agg(F.count("*").alias("m"), F.max("wide").alias("_wide"), F.min("side").alias("_lo"), F.max("side").alias("_hi"))
+    useful = by.groupBy("key", "mode").agg(F.max(F.struct("m", "component")).alias("_most"), F.count("*").alias("_many"), F.max("_wide").alias("_wide"), (F.min("_lo") + F.max("_hi")).alias("_sides")).where("_many > 1 AND _sides = 0 AND (mode = 0 OR _wide)")
+    keys = keys.join(useful.select("key", "mode", F.col("_most.component").alias("_main")), ["key", "mode"])
+    l, r = (keys.select("key", "mode", F.col("_main").alias(f"m{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("wide").alias(f"w{x}"), F.col("room").alias(f"r{x}"), F.col("side").alias(f"s{x}")) for x in "ab")
+    meets = l.where("ca <> ma").join(r, ["key", "mode"]).where("sa + sb = 0 AND ca <> cb AND (cb = mb OR a < b) AND (mode = 0 OR wa OR wb)")
+    pairs = meets.where(possible("na", "nb", F.least("ra", "rb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if tried is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
     found = stored(similar(stored(pairs, "pairs")), "links")
     if not found.isEmpty():
-        near = connected_components(found if links is None else links.union(found), "a", "b")
-        comps = nodes.select("node").join(near, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        comps = classes_of(found if links is None else links.union(found))
 
     least = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"))
     classes = nodes.select("node", "s1", "s2").join(comps, "node").join(least, ["s1", "s2"])

@@ -7,7 +7,8 @@ than that is a slice of its own, never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,23 @@ SLICE = 1 << 20
 _U = np.uint64
 _P, _PINV = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
+pa.set_memory_pool(pa.system_memory_pool())
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def trimmed(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same work on batches; at its end the Python worker, which later tasks use again, gives back the memory it freed."""
+
+    def run(batches: Batches) -> Batches:
+        yield from work(batches)
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
