@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 
 VOCAB, END = 50_257, 50_256
-SPAN, STRIDE, WIDTH = 32, 16, 32
-HEADS, TAILS, INPUTS = 256, 32, 1024
+SPAN, STRIDE, WIDTH = 32, 16, 16
+HEADS, TAILS, INPUTS = 224, 32, 1024
 CLASSES = HEADS + TAILS
 PAD = INPUTS
 

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from grovespark.llm import lm_model as lm
 from grovespark.llm.frames import clean, documents, fold, summed
-from grovespark.llm.textops import LOWER, Slice, blobs, longs, mix, slices, strings, table_rows
+from grovespark.llm.textops import LOWER, Slice, blobs, longs, mix, slices, strings, table_rows, trimmed
 from grovespark.llm.tokens import coder, default_path
 from grovespark.runtime import stored, width
 
 FOLDS, HELD = 7, 2
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 #: One window in SAMPLE of every training text moves the weights; all training texts count in the statistics.
 SAMPLE, ROUNDS, BATCH, RATE = 48, 2, 64, 4e-3
 #: Windows scored at once.
@@ -61,7 +61,7 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
             number = rank[number]
             order = np.argsort(rank)  # hash place of each rank
             rare = number >= 0xFFFF
-            return _row(_CODED_NAMES, chunk, info, np.concatenate([hashes, order.astype(_U)]), counts.astype(np.int32), np.where(rare, 0xFFFF, number).astype(np.uint16), number[rare].astype(np.uint32), sizes.astype(np.int32), ids.astype(np.uint16))
+            return _row(_CODED_NAMES, chunk, info, np.concatenate([hashes.view(np.uint32), order.astype(np.uint32)]), counts.astype(np.int32), np.where(rare, 0xFFFF, number).astype(np.uint16), number[rare].astype(np.uint32), sizes.astype(np.int32), ids.astype(np.uint16))
 
         for b in batches:
             doc, none = longs(b, "doc_id")
@@ -79,7 +79,7 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
         if held:
             yield flush()
 
-    return stored(clean(docs, "doc_id", "text").select("doc_id", "text", (fold(FOLDS) == HELD).alias("held_out")).mapInArrow(code, _CODED), "coded")
+    return stored(clean(docs, "doc_id", "text").select("doc_id", "text", (fold(FOLDS) == HELD).alias("held_out")).mapInArrow(trimmed(code), _CODED), "coded")
 
 
 _PART = "bucket int, chunk long, a binary, b binary"
@@ -95,8 +95,8 @@ def word_totals(chunks: DataFrame) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, h, c in zip(b.column(0).to_pylist(), blobs(b, "hashes", _U), blobs(b, "counts", np.int32)):
-                h = h[: len(c)]
+            for chunk, h, c in zip(b.column(0).to_pylist(), blobs(b, "hashes", np.uint32), blobs(b, "counts", np.int32)):
+                h = h[: 2 * len(c)].view(_U)
                 cut = np.searchsorted(((h >> _U(32)) * _U(parts)) >> _U(32), np.arange(parts + 1).astype(_U))
                 some = np.flatnonzero(np.diff(cut))
                 cells = [(k, chunk, h[cut[k] : cut[k + 1]].tobytes(), c[cut[k] : cut[k + 1]].tobytes()) for k in some.tolist()]
@@ -117,7 +117,7 @@ def word_totals(chunks: DataFrame) -> DataFrame:
             for lo in range(0, len(cells), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells[lo : lo + 64]), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names)
 
-    return stored(chunks.select("chunk", "hashes", "counts").mapInArrow(send, _PART).repartitionById(parts, F.col("bucket")).mapInArrow(total, _PART), "totals")
+    return stored(chunks.select("chunk", "hashes", "counts").mapInArrow(trimmed(send), _PART).repartitionById(parts, F.col("bucket")).mapInArrow(trimmed(total), _PART), "totals")
 
 
 def base_scores(chunks: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def base_scores(chunks: DataFrame) -> DataFrame:
         n = sum(int((_docs(d)[2] == 0).sum()) for b in batches for d in blobs(b, "docs", np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
-    ends = chunks.select("docs").mapInArrow(trained, "n long").agg(F.sum("n")).first()[0] or 0
+    ends = chunks.select("docs").mapInArrow(trimmed(trained), "n long").agg(F.sum("n")).first()[0] or 0
     tokens, distinct = tokens + ends, distinct + (ends > 0)
     divisor = np.log10(tokens + distinct + 1)
     parts = width(chunks.sparkSession)
@@ -140,14 +140,14 @@ def base_scores(chunks: DataFrame) -> DataFrame:
             for chunk, k, a, w, r, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(blobs(b, n, np.uint8) for n in ("a", "b", "c", "d"))):
                 own = held.setdefault(chunk, {})
                 if k < 0:
-                    own["docs"] = a.view(np.int64), w.view(np.uint16), r.view(np.uint32), h.view(_U)
+                    own["docs"] = a.view(np.int64), w.view(np.uint16), r.view(np.uint32), h.view(np.uint32)
                 else:
                     own[k] = a.view(np.int64)
         for chunk in list(held):
             own = held.pop(chunk)
             info, word, rare, hashes = own.pop("docs")
             info = _docs(info)
-            counts = np.concatenate([own[k] for k in sorted(own)] or [np.zeros(0, np.int64)])[hashes[len(hashes) // 2 :].astype(np.int64)]
+            counts = np.concatenate([own[k] for k in sorted(own)] or [np.zeros(0, np.int64)])[hashes[2 * len(hashes) // 3 :].astype(np.int64)]
             number = word.astype(np.int64)
             number[word == 0xFFFF] = rare
             c = counts[number]
@@ -160,7 +160,7 @@ def base_scores(chunks: DataFrame) -> DataFrame:
 
     left = chunks.select("chunk", F.lit(-1).alias("bucket"), F.col("docs").alias("a"), F.col("words").alias("b"), F.col("rare").alias("c"), F.col("hashes").alias("d"))
     right = totals.where("chunk <> -1").select("chunk", "bucket", "a", *[F.lit(b"").alias(x) for x in "bcd"])
-    return left.union(right).repartition(parts, F.col("chunk")).mapInArrow(score, "chunk long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double")
+    return left.union(right).repartition(parts, F.col("chunk")).mapInArrow(trimmed(score), "chunk long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -191,7 +191,7 @@ def train(chunks: DataFrame) -> tuple[lm.Ids, dict[str, np.ndarray]]:
             total[lm.END] += int(fit.sum())
         yield table_rows(total, 16)
 
-    got = summed(own.mapInArrow(count, "block int, part binary"), np.int64, 16)
+    got = summed(own.mapInArrow(trimmed(count), "block int, part binary"), np.int64, 16)
     known = lm.ids_of(got if len(got) else np.zeros(lm.VOCAB, np.int64))
     shape = lm.INPUTS, lm.CLASSES
 
@@ -206,7 +206,7 @@ def train(chunks: DataFrame) -> tuple[lm.Ids, dict[str, np.ndarray]]:
             total += np.bincount(known.row[text[after - 1]].astype(np.int64) * shape[1] + known.cls[text[after]], minlength=len(total))
         yield table_rows(total, 16)
 
-    got = summed(own.mapInArrow(pairs, "block int, part binary"), np.int64, 16)
+    got = summed(own.mapInArrow(trimmed(pairs), "block int, part binary"), np.int64, 16)
     params = lm.start((got if len(got) else np.zeros(shape[0] * shape[1])).reshape(shape).astype(np.float64))
     for turn in range(ROUNDS):
         now = params
@@ -239,7 +239,7 @@ def train(chunks: DataFrame) -> tuple[lm.Ids, dict[str, np.ndarray]]:
                 step()
             yield table_rows(np.append(lm.flat(adam.p).astype(np.float64) * seen, float(seen)), 16)
 
-        got = summed(own.mapInArrow(learn, "block int, part binary"), np.float64, 16)
+        got = summed(own.mapInArrow(trimmed(learn), "block int, part binary"), np.float64, 16)
         if len(got) and got[-1] > 0:
             params = lm.unflat(got[:-1] / got[-1], params)
     return known, params
@@ -268,7 +268,7 @@ def model_scores(chunks: DataFrame) -> DataFrame:
             m = len(sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(np.arange(m, dtype=np.int32)), pa.array(total / np.log(10)), pa.array(sizes + 1)], ["chunk", "place", "score", "n_subwords"])
 
-    return chunks.select("chunk", "docs", "sizes", "ids").mapInArrow(score, "chunk long, place int, score double, n_subwords long")
+    return chunks.select("chunk", "docs", "sizes", "ids").mapInArrow(trimmed(score), "chunk long, place int, score double, n_subwords long")
 
 
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
