@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from itertools import product
 from math import sqrt
 
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from grovespark.functions.geometry import quad_cell, squared
 from grovespark.runtime import stored
 
-Condition = Callable[[], Column]
+#: Queries and data points together up to which a search looks at all pairs at once.
+SMALL = 4096
 
 
 def bounding_box(points: DataFrame, axes: Sequence[str]) -> DataFrame:
@@ -89,7 +90,9 @@ def start_radius(data: DataFrame, axes: Sequence[str], k: int) -> tuple[float, f
 
 def _search(queries: DataFrame, data: DataFrame, axes: Sequence[str], k: int, condition: Column | None, extra: Sequence[str], keys: dict[str, Column], per_query: int) -> DataFrame:
     """k nearest for each query and key, by radii that double until ``per_query`` keys have k, or all points are in reach."""
-    r, across, _ = start_radius(data.select(*axes).union(queries.select(*axes)), axes, k)
+    r, across, n = start_radius(data.select(*axes).union(queries.select(*axes)), axes, k)
+    if n <= SMALL:  # counted: one round over all of them is cheaper than several
+        r = across
     left, done = queries, None
     while True:
         near = pairs_within(left, data, axes, r, extra)
