@@ -149,9 +149,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     slots = drawn.mapInArrow(spread, "out_shard int, slot long, source_no int, epoch int, block long")
 
     # Join blocks by index.
-    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # Both sides grow with the data; slots come from a short range, whose size would mislead the planner into a broadcast.
+    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
     taken = parts.join(times, ["source_no", "block"]).groupBy("source_no", "doc_id", "first").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    taken = taken.select(F.col("source_no").alias("_s"), F.col("first").alias("_f"), "taken")
+    taken = taken.select(F.col("source_no").alias("_s"), F.col("first").alias("_f"), "taken").hint("merge")
     out = put.join(taken, (F.col("source_no") == F.col("_s")) & (F.col("first") == F.col("_f")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), slots
 
