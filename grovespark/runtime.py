@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that this process has written to the shared folder.
+_tables: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -18,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = getattr(spark, "_grove_shared", None)
         if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="grove-")
+            own = tempfile.mkdtemp(prefix="grove-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            path = "file://" + own
             spark._grove_shared = path
             spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -29,9 +37,18 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/grove-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables written so far; for the end of a job, when no DataFrame over them is used any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _tables:
+        path = hadoop.Path(_tables.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them for the size of its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
