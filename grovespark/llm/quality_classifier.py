@@ -19,6 +19,8 @@ WIDTH = 4 * DIM + 2
 #: Labelled documents that the network is fitted on at most.
 SAMPLE = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 30, 256, 2e-3, 1e-3
+#: Steps of the optimiser at least, so that few labels still train the network.
+LEAST_STEPS = 1500
 FOLDS, THRESHOLD = 5, 0.3
 _U = np.uint64
 
@@ -123,7 +125,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 1) -> Network:
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     sign = np.where(y[back] == 1, 1, -1)
     best, kept = np.inf, [a.copy() for a in p]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(own)))):
         for lo in range(0, len(own), BATCH):
             k = own[lo : lo + BATCH]
             hid = np.tanh(x[k] @ p[0] + p[1])
