@@ -24,9 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = getattr(spark, "_grove_shared", None)
         if not path:
-            own = tempfile.mkdtemp(prefix="grove-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            path = "file://" + own
+            path = "file://" + tempfile.mkdtemp(prefix="grove-")
             spark._grove_shared = path
             spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -49,6 +47,13 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@atexit.register
+def _tidy() -> None:
+    """At the end of the process, the tables that lie in a file system this machine sees."""
+    for path in _tables:
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them for the size of its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
