@@ -26,7 +26,7 @@ WIDE = 40
 E3 = "p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(label AS BIGINT) AS label FROM embeddings)"
 S2 = "p AS (SELECT s_suppkey AS id, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier)"
 C2 = "p AS (SELECT c_custkey AS id, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y, c_mktsegment AS segment FROM customer)"
-G = f"g AS (SELECT (p_partkey - 1) % {WIDE} AS i, (p_partkey - 1) // {WIDE} AS j, CAST(p_size AS DOUBLE) AS v, p_retailprice AS c, p_partkey AS id FROM part), s AS (SELECT max(j) + 1 AS h FROM g)"
+G = f"g AS (SELECT p_partkey % {WIDE} AS i, p_partkey // {WIDE} AS j, CAST(p_size AS DOUBLE) AS v, p_retailprice AS c, p_partkey AS id FROM part), s AS (SELECT max(j) + 1 AS h FROM g)"
 D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 D2XY = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
 PRIM = f"""WITH RECURSIVE {E3}, t(step, tree, u, v, d2) AS (
@@ -36,7 +36,7 @@ PRIM = f"""WITH RECURSIVE {E3}, t(step, tree, u, v, d2) AS (
     SELECT t.step, t.tree, a.id AS u, b.id AS v, {D2} AS d2 FROM t, p a, p b
     WHERE list_contains(t.tree, a.id) AND NOT list_contains(t.tree, b.id)
     ORDER BY {D2}, least(a.id, b.id), greatest(a.id, b.id) LIMIT 1)),
-e AS (SELECT least(u, v) AS src, greatest(u, v) AS dst, d2 FROM t WHERE u IS NOT NULL)"""
+e AS MATERIALIZED (SELECT least(u, v) AS src, greatest(u, v) AS dst, d2 FROM t WHERE u IS NOT NULL)"""
 
 
 def query(sql: str | None = None):
@@ -73,7 +73,7 @@ def c2(spark, d) -> DataFrame:
 def grid(spark, d) -> tuple[DataFrame, tuple[int, int]]:
     """Parts as pixels (i, j, v size, c price, id), and the grid's size."""
     p = table(spark, d, "part")
-    k = F.col("p_partkey") - 1
+    k = F.col("p_partkey")
     x = p.select((k % WIDE).alias("i"), F.floor(k / WIDE).alias("j"), F.col("p_size").cast("double").alias("v"), F.col("p_retailprice").alias("c"), F.col("p_partkey").alias("id"))
     return x, (WIDE, int(x.agg(F.max("j")).first()[0] or 0) + 1)
 
