@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grovespark.llm.frames import clean, documents
+from grovespark.llm.textops import trimmed
 from grovespark.runtime import stored, width
 
 NULL_ID = (1 << 63) - 1
@@ -146,7 +147,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = stored(clean(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest")), "digests")
     own = rows.select("digest", F.coalesce("doc_id", F.lit(NULL_ID)).alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
-    groups = own.mapInArrow(index_digests, _INDEXED).repartition(width(spark), "digest").mapInArrow(index_digests, _INDEXED)
+    groups = own.mapInArrow(trimmed(index_digests), _INDEXED).repartition(width(spark), "digest").mapInArrow(trimmed(index_digests), _INDEXED)
     joined = rows.join(groups.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"))
     return joined.select("doc_id", F.nullif("keep_id", F.lit(NULL_ID)).alias("keep_id"), "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

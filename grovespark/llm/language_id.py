@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from grovespark.llm.frames import clean, documents, fold
-from grovespark.llm.textops import Slice, blobs, slices, strings
+from grovespark.llm.textops import Slice, blobs, slices, strings, trimmed
 from grovespark.runtime import width
 
 #: Bytes of the longest context; bytes of all languages' code lengths together, which bounds the trees.
@@ -91,7 +91,7 @@ def context_counts(docs: DataFrame, totals: dict[str, int], per_order: int) -> l
             if keep.any():
                 yield rows(lang, order, k[keep], c[keep])
 
-    own = docs.mapInArrow(count, schema).repartitionById(parts, F.col("bucket")).mapInArrow(prune, schema)
+    own = docs.mapInArrow(trimmed(count), schema).repartitionById(parts, F.col("bucket")).mapInArrow(trimmed(prune), schema)
     return [(r.lang, r.ord, np.frombuffer(r.keys, np.uint32), np.frombuffer(r.counts, np.int64)) for r in own.toLocalIterator()]
 
 
@@ -186,7 +186,7 @@ def language_id(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.lo, s.n), b.column(2).slice(s.lo, s.n), names, pa.array(np.where(known, share, 0.0)), pa.array(least, mask=~known)], ["doc_id", "held_out", "lang_pred", "score", "code_length"])
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    return own.select("doc_id", "text", "held_out", letter).mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, code_length double")
+    return own.select("doc_id", "text", "held_out", letter).mapInArrow(trimmed(predict), "doc_id long, held_out boolean, lang_pred string, score double, code_length double")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from grovespark.llm.frames import clean, documents, placed
 from grovespark.llm.textops import mix as scramble
-from grovespark.llm.textops import slices, strings
+from grovespark.llm.textops import slices, strings, trimmed
 from grovespark.runtime import stored
 
 #: Words of a block, blocks of an output shard, weights by source in turn.
@@ -80,7 +80,7 @@ def sized(docs: DataFrame) -> DataFrame:
             sizes = [s.words().counts for s in slices(strings(b))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(sizes or [np.zeros(0)]).astype(np.int64))], ["doc_id", "source", "size"])
 
-    return clean(docs, "doc_id", "source", "text").mapInArrow(count, "doc_id long, source string, size long")
+    return clean(docs, "doc_id", "source", "text").mapInArrow(trimmed(count), "doc_id long, source string, size long")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -145,8 +145,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["out_shard", "source_no", "many", "start"])
 
-    drawn = spark.range(0, shards, 1, max(1, min(shards, 64))).mapInArrow(counted, "out_shard int, source_no int, many long, start long")
-    slots = drawn.mapInArrow(spread, "out_shard int, slot long, source_no int, epoch int, block long")
+    drawn = spark.range(0, shards, 1, max(1, min(shards, 64))).mapInArrow(trimmed(counted), "out_shard int, source_no int, many long, start long")
+    slots = drawn.mapInArrow(trimmed(spread), "out_shard int, slot long, source_no int, epoch int, block long")
 
     # Join blocks by index.
     # Both sides grow with the data; slots come from a short range, whose size would mislead the planner into a broadcast.

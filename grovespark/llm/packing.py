@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from grovespark.llm.frames import clean, documents, placed
-from grovespark.llm.textops import longs, slices, strings
+from grovespark.llm.textops import longs, slices, strings, trimmed
 from grovespark.llm.tokens import coder, default_path
 from grovespark.runtime import stored
 
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> Data
                 doc = pa.array(ids_of[s.lo + c[0]], pa.int64(), mask=none[s.lo + c[0]])
                 yield pa.RecordBatch.from_arrays([doc, pa.array(c[1].astype(np.int32)), *[pa.array(x) for x in c[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return clean(docs, "doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return clean(docs, "doc_id", "text").mapInArrow(trimmed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence[k] + at - keys[k]), pa.array(offset[k])], [*b.schema.names[:-1], "sequence_id", "offset"])
 
     ranked = placed(cut, ["length"], ["doc_id", "piece", "ids_crc32", "start"], name="rank")
-    return ranked.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(put), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:

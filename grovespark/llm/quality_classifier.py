@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from grovespark.llm.frames import clean, documents, fold, labelled, summed
-from grovespark.llm.textops import Slice, Words, slices, strings, table_rows
+from grovespark.llm.textops import Slice, Words, slices, strings, table_rows, trimmed
 
 #: Words are hashed to VOCAB rows of DIM numbers; a context is WINDOW words to either side.
 #: WIDTH: features of a document.
@@ -62,7 +62,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 contexts(s, total)
         yield table_rows(total.astype(np.float32), 16)
 
-    got = summed(clean(docs, "text").mapInArrow(count, "block int, part binary"), np.float32, 16)
+    got = summed(clean(docs, "text").mapInArrow(trimmed(count), "block int, part binary"), np.float32, 16)
     v = got.reshape(VOCAB, DIM).astype(np.float64) if len(got) else np.zeros((VOCAB, DIM))
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -166,7 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
                 x = pooled(s, shared.value)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.lo, s.n), b.column(2).slice(s.lo, s.n), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
-    rows = labelled(docs, labels, "quality", sample, fold(FOLDS) != 0).select("doc_id", "text", "label").mapInArrow(features, "doc_id long, label int, x binary").toArrow().to_pylist()
+    rows = labelled(docs, labels, "quality", sample, fold(FOLDS) != 0).select("doc_id", "text", "label").mapInArrow(trimmed(features), "doc_id long, label int, x binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(np.float64) if rows else np.zeros((0, WIDTH))
     net = fit(x, np.array([r["label"] for r in rows], np.float64))
@@ -178,7 +178,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.lo, s.n), b.column(2).slice(s.lo, s.n), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     own = clean(docs, "doc_id", "text").withColumn("held_out", fold(FOLDS) == 0)
-    return own.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return own.mapInArrow(trimmed(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from grovespark.llm.frames import carried, clean, documents, summed
-from grovespark.llm.textops import Slice, slices, strings, table_rows
+from grovespark.llm.textops import Slice, slices, strings, table_rows, trimmed
 
 #: n-grams are runs of NGRAM bytes, hashed to 2**BITS buckets.
 NGRAM, BITS = 3, 16
@@ -90,7 +90,7 @@ def log_ratio(docs: DataFrame, trusted_ids: DataFrame) -> np.ndarray:
 
     ids = trusted_ids.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).withColumn("trusted", F.lit(1))
     flagged = clean(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    got = summed(flagged.mapInArrow(count, "block int, part binary"), np.int64, 16)
+    got = summed(flagged.mapInArrow(trimmed(count), "block int, part binary"), np.int64, 16)
     if not len(got):
         return np.zeros(size)
     raw, target = got.reshape(2, size)
@@ -110,23 +110,25 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold: float = TH
     found by 64-bit hashes.
     """
     ratio = log_ratio(docs, trusted_ids)
+    place = docs.columns.index("text") if carry else 0
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(strings(b)):
+            # The text travels once: by itself, or in the row that is passed on.
+            texts = b.column(1).field(place) if carry else b.column(1)
+            for s in slices(texts):
                 c = counts(s)
                 g, many = grams(s)
                 score = np.bincount(np.repeat(np.arange(s.n), many), ratio[g], s.n) / np.maximum(many, 1)
                 failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
-                out = [b.column(0).slice(s.lo, s.n), *c.values(), failed, score, ~failed & (score >= threshold), *[x.slice(s.lo, s.n) for x in b.columns[2:]]]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], ["doc_id", *c, "base_failed", "llr", "kept", *b.schema.names[2:]])
+                out = [b.column(0).slice(s.lo, s.n), *c.values(), failed, score, ~failed & (score >= threshold), *([b.column(1).slice(s.lo, s.n)] if carry else [])]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], ["doc_id", *c, "base_failed", "llr", "kept", *(["document"] if carry else [])])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
-    own = clean(docs, "doc_id", "text")
     if not carry:
-        return own.mapInArrow(judge, schema)
-    own = carried(docs, "doc_id", "text")
-    return own.mapInArrow(judge, f"{schema}, document {own.schema['document'].dataType.simpleString()}")
+        return clean(docs, "doc_id", "text").mapInArrow(trimmed(judge), schema)
+    own = carried(docs, "doc_id")
+    return own.mapInArrow(trimmed(judge), f"{schema}, document {own.schema['document'].dataType.simpleString()}")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from grovespark.llm.textops import Slice, mix
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Slots of a worker's word table; at half of them it starts anew.
-TABLE = 1 << 21
+TABLE = 1 << 20
 _U = np.uint64
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from grovespark.llm.frames import clean, documents, fold, labelled, summed
-from grovespark.llm.textops import Slice, slices, strings, table_rows
+from grovespark.llm.textops import Slice, slices, strings, table_rows, trimmed
 
 #: Words and their first bytes are hashed to 2**BITS features.
 BITS, PREFIXES = 18, (4, 5, 6)
@@ -104,7 +104,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
                     total[y, size] += int((label[s.lo : s.hi] == y).sum())
         yield table_rows(total, 16)
 
-    got = summed(few.mapInArrow(frequencies, "block int, part binary"), np.int64, 16)
+    got = summed(few.mapInArrow(trimmed(frequencies), "block int, part binary"), np.int64, 16)
     if not len(got):
         return np.zeros(size), -6.0
     clean_, toxic = got.reshape(2, size + 1)
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
                 cells = [np.stack([sent[lo:hi] - base[i], feat[lo:hi]]).astype(np.int32).tobytes() for i, (lo, hi) in enumerate(zip(starts, ends))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.lo, s.n), b.column(2).slice(s.lo, s.n), pa.array(many.astype(np.int32)), pa.array(cells, pa.binary())], ["doc_id", "label", "many", "cells"])
 
-    rows = few.mapInArrow(instances, "doc_id long, label int, many int, cells binary").toArrow().to_pylist()
+    rows = few.mapInArrow(trimmed(instances), "doc_id long, label int, many int, cells binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["cells"]))
     cells = [np.frombuffer(r["cells"], np.int32).reshape(2, -1) for r in rows]
     many = np.array([r["many"] for r in rows], np.int64)
@@ -169,7 +169,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.lo, s.n), b.column(2).slice(s.lo, s.n), pa.array(total), pa.array((total >= threshold).astype(np.int32)), spans], ["doc_id", "held_out", "score", "predicted", "offending"])
 
     own = clean(docs, "doc_id", "text").withColumn("held_out", fold(FOLDS) == 0)
-    return own.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start:long,end:long,score:double>>")
+    return own.mapInArrow(trimmed(score), "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start:long,end:long,score:double>>")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
