@@ -23,7 +23,7 @@ from grovespark.operators.neighbors import bounding_box, pairs_within, valid
 from grovespark.runtime import stored
 
 #: Up to so many distinct points, or so many live edges, one task finishes the work; both are counted first.
-LOCAL_POINTS, LOCAL_EDGES = 4096, 500_000
+LOCAL_POINTS, LOCAL_EDGES = 20_000, 500_000
 #: Points of a cell at most, where the search begins; growth of the radius.
 CELL_POINTS, GROWTH = 48, 4
 _EDGE = "src long, dst long, d2 double"
@@ -31,25 +31,34 @@ _EDGE = "src long, dst long, d2 double"
 
 def _prim(axes: Sequence[str]):
     def tree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = pd.concat([*frames, pd.DataFrame(columns=["id", *axes])]).sort_values("id")
+        p = pd.concat([f for f in frames if len(f)] or [pd.DataFrame(columns=["id", *axes])]).sort_values("id")
         ids, xyz = p["id"].to_numpy(np.int64), p[list(axes)].to_numpy(np.float64)
         n = len(ids)
-        best, link, out, at = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool), 0
+        best, link, live, at = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool), 0
         rows = []
+
+        def pair(k: np.ndarray, to) -> tuple[np.ndarray, np.ndarray]:
+            return np.minimum(ids[k], ids[to]), np.maximum(ids[k], ids[to])
+
         for _ in range(n - 1):
-            out[at] = True
-            d = 0.0
+            live[at], best[at] = False, np.inf
+            d = np.zeros(n)
             for k in range(xyz.shape[1]):
                 diff = xyz[:, k] - xyz[at, k]
-                d = d + diff * diff
-            lo, hi = np.minimum(ids, ids[at]), np.maximum(ids, ids[at])
-            blo, bhi = np.minimum(ids, ids[link]), np.maximum(ids, ids[link])
-            closer = ~out & ((d < best) | (d == best) & ((lo < blo) | (lo == blo) & (hi < bhi)))
+                d += diff * diff
+            closer = (d < best) & live
+            even = np.flatnonzero((d == best) & live)
+            if len(even):  # equal lengths go by ids
+                (lo, hi), (blo, bhi) = pair(even, at), pair(even, link[even])
+                closer[even[(lo < blo) | (lo == blo) & (hi < bhi)]] = True
             best[closer], link[closer] = d[closer], at
-            live = np.flatnonzero(~out)
-            lo, hi = np.minimum(ids[live], ids[link[live]]), np.maximum(ids[live], ids[link[live]])
-            at = live[np.lexsort((hi, lo, best[live]))[0]]
-            rows.append((min(ids[at], ids[link[at]]), max(ids[at], ids[link[at]]), best[at]))
+            least = np.flatnonzero((best == best.min()) & live)
+            if len(least) > 1:
+                lo, hi = pair(least, link[least])
+                least = least[np.lexsort((hi, lo))]
+            at = int(least[0])
+            lo, hi = pair(at, link[at])
+            rows.append((lo, hi, best[at]))
         yield pd.DataFrame(rows, columns=["src", "dst", "d2"]).astype({"src": "int64", "dst": "int64", "d2": "float64"})
 
     return tree
@@ -57,7 +66,7 @@ def _prim(axes: Sequence[str]):
 
 def _kruskal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Minimum spanning forest of edges (a, b between components; src, dst, d2)."""
-    e = pd.concat([*frames, pd.DataFrame(columns=["a", "b", "src", "dst", "d2"])]).sort_values(["d2", "src", "dst"])
+    e = pd.concat([f for f in frames if len(f)] or [pd.DataFrame(columns=["a", "b", "src", "dst", "d2"])]).sort_values(["d2", "src", "dst"])
     root: dict[int, int] = {}
 
     def find(v: int) -> int:

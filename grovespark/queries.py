@@ -276,7 +276,7 @@ def emst_parts(spark, d):
 @query()
 def emst_events(spark, d):
     """Whole events table as points (value, time in hours); past LOCAL_POINTS, so by cells and components."""
-    p = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("x"), (F.unix_micros("ts") / 3.6e9).alias("y"))
+    p = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("x"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("y"))
     return tree.emst(p, XY)
 
 
