@@ -422,8 +422,8 @@ def edge_density(spark, d):
 
 
 @query(f"""WITH {G}, {S2}, q AS (SELECT id, greatest(0.0, least(abs(x) / 300, {WIDE - 1}.0)) AS x, greatest(0.0, least(y / 7, CAST(h - 1 AS DOUBLE))) AS y FROM p, s),
-c AS (SELECT id, unnest([0, 0, 1, 1]) AS di, unnest([0, 1, 0, 1]) AS dj, x - floor(x) AS fx, y - floor(y) AS fy, floor(x) AS bx, floor(y) AS by FROM q)
-SELECT c.id, round(sum((CASE WHEN di = 1 THEN fx ELSE 1 - fx END) * (CASE WHEN dj = 1 THEN fy ELSE 1 - fy END) * g.v), 6) AS v FROM c, s, g WHERE g.i = least(bx + di, {WIDE - 1}) AND g.j = least(by + dj, h - 1) GROUP BY c.id""")
+c AS (SELECT id, unnest([0, 0, 1, 1]) AS di, unnest([0, 1, 0, 1]) AS dj, x - floor(x) AS fx, y - floor(y) AS fy, floor(x) AS ux, floor(y) AS uy FROM q)
+SELECT c.id, round(sum((CASE WHEN di = 1 THEN fx ELSE 1 - fx END) * (CASE WHEN dj = 1 THEN fy ELSE 1 - fy END) * g.v), 6) AS v FROM c, s, g WHERE g.i = least(ux + di, {WIDE - 1}) AND g.j = least(uy + dj, h - 1) GROUP BY c.id""")
 def bilinear_fetch(spark, d):
     x, size = grid(spark, d)
     at = s2(spark, d).select("id", (F.abs("x") / 300).alias("x"), (F.col("y") / 7).alias("y"))
