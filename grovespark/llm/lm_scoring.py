@@ -30,7 +30,7 @@ SAMPLE, ROUNDS, BATCH, RATE = 48, 2, 64, 4e-3
 BLOCK = 96
 _U = np.uint64
 
-_CODED = "chunk long, docs binary, hashes binary, counts binary, words binary, rare binary, sizes binary, ids binary"
+_CODED = "chunk long, docs binary, hashes binary, place binary, counts binary, words binary, rare binary, sizes binary, ids binary"
 _CODED_NAMES = [x.split()[0] for x in _CODED.split(", ")]
 
 
@@ -61,7 +61,7 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
             number = rank[number]
             order = np.argsort(rank)  # hash place of each rank
             rare = number >= 0xFFFF
-            return _row(_CODED_NAMES, chunk, info, np.concatenate([hashes.view(np.uint32), order.astype(np.uint32)]), counts.astype(np.int32), np.where(rare, 0xFFFF, number).astype(np.uint16), number[rare].astype(np.uint32), sizes.astype(np.int32), ids.astype(np.uint16))
+            return _row(_CODED_NAMES, chunk, info, hashes, order.astype(np.uint32), counts.astype(np.int32), np.where(rare, 0xFFFF, number).astype(np.uint16), number[rare].astype(np.uint32), sizes.astype(np.int32), ids.astype(np.uint16))
 
         for b in batches:
             doc, none = longs(b, "doc_id")
@@ -95,8 +95,7 @@ def word_totals(chunks: DataFrame) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, h, c in zip(b.column(0).to_pylist(), blobs(b, "hashes", np.uint32), blobs(b, "counts", np.int32)):
-                h = h[: 2 * len(c)].view(_U)
+            for chunk, h, c in zip(b.column(0).to_pylist(), blobs(b, "hashes", _U), blobs(b, "counts", np.int32)):
                 cut = np.searchsorted(((h >> _U(32)) * _U(parts)) >> _U(32), np.arange(parts + 1).astype(_U))
                 some = np.flatnonzero(np.diff(cut))
                 cells = [(k, chunk, h[cut[k] : cut[k + 1]].tobytes(), c[cut[k] : cut[k + 1]].tobytes()) for k in some.tolist()]
@@ -145,9 +144,9 @@ def base_scores(chunks: DataFrame) -> DataFrame:
                     own[k] = a.view(np.int64)
         for chunk in list(held):
             own = held.pop(chunk)
-            info, word, rare, hashes = own.pop("docs")
+            info, word, rare, place = own.pop("docs")
             info = _docs(info)
-            counts = np.concatenate([own[k] for k in sorted(own)] or [np.zeros(0, np.int64)])[hashes[2 * len(hashes) // 3 :].astype(np.int64)]
+            counts = np.concatenate([own[k] for k in sorted(own)] or [np.zeros(0, np.int64)])[place]
             number = word.astype(np.int64)
             number[word == 0xFFFF] = rare
             c = counts[number]
@@ -158,7 +157,7 @@ def base_scores(chunks: DataFrame) -> DataFrame:
             out = [pa.array(np.full(m, chunk)), pa.array(np.arange(m, dtype=np.int32)), pa.array(info[0], pa.int64(), mask=info[1] == 1), pa.array(info[2] == 1), pa.array(n), pa.array(add(c > 0) + int(ends > 0)), pa.array(np.full(m, tokens)), pa.array(base)]
             yield pa.RecordBatch.from_arrays(out, ["chunk", "place", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
 
-    left = chunks.select("chunk", F.lit(-1).alias("bucket"), F.col("docs").alias("a"), F.col("words").alias("b"), F.col("rare").alias("c"), F.col("hashes").alias("d"))
+    left = chunks.select("chunk", F.lit(-1).alias("bucket"), F.col("docs").alias("a"), F.col("words").alias("b"), F.col("rare").alias("c"), F.col("place").alias("d"))
     right = totals.where("chunk <> -1").select("chunk", "bucket", "a", *[F.lit(b"").alias(x) for x in "bcd"])
     return left.union(right).repartition(parts, F.col("chunk")).mapInArrow(trimmed(score), "chunk long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double")
 
