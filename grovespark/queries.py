@@ -618,7 +618,7 @@ def neighbourhood_rings(spark, d):
     return spark.createDataFrame([(i, j, *[of[t][i, j] for t in of]) for i, j in rows], "i long, j long, quad long, tetra long, hexa long")
 
 
-@query("SELECT date_trunc('hour', ts) AS start, CAST(floor((value - 0.0 + 50.0 / 2) / 50.0) AS BIGINT) AS cvalue, count(*) AS n, round(sum(value), 4) AS sum_value FROM events GROUP BY 1, 2")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, CAST(floor((value - 0.0 + 50.0 / 2) / 50.0) AS BIGINT) AS cvalue, count(*) AS n, round(sum(value), 4) AS sum_value FROM events GROUP BY 1, 2")
 def windowed_cells(spark, d):
     x = windowed_density(table(spark, d, "events"), ["value"], 50.0)
-    return x.select("start", "cvalue", "n", F.round("sum_value", 4).alias("sum_value"))
+    return x.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "cvalue", "n", F.round("sum_value", 4).alias("sum_value"))
