@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grovespark.llm.exact_dedup import exact_dedup, normalised
 from grovespark.llm.frames import carried, documents, released
-from grovespark.llm.mixing import mix
+from grovespark.llm.mixing import copies
 from grovespark.llm.ngram_join import jaccard_classes
 from grovespark.llm.packing import pack
 from grovespark.llm.quality_rules import quality_rules
@@ -39,11 +39,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded: not at all, once or twice."""
-    taken = mix(docs)[0].groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg((F.sum("taken") / F.sum("size")).alias("_rate"))
+    """Each document as often as the mix takes its words; what is left of a time is drawn evenly over lengths."""
+    taken = copies(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "times")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    times = F.floor(F.col("_rate") + 0.5).cast("int")
-    return released(carried(docs, "doc_id", "source").join(taken.where("_rate >= 0.5"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))), docs)
+    return released(carried(docs, "doc_id", "source").join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

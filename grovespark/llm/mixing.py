@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from grovespark.llm.frames import clean, documents, placed
 from grovespark.llm.textops import mix as scramble
@@ -157,5 +157,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), slots
 
 
+def copies(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, source and times of every document that the mix keeps, for mixes of whole documents.
+
+    A document comes out the whole part of taken / size times. The fractions of
+    a source are summed along its documents in order of size, from a seeded
+    start, and a document comes out once more where the sum passes a whole
+    number. So no length is favoured, and what a source gives differs from what
+    the mix takes by about a document, not by a share. Bands of sizes (a
+    twelfth wide) stand for the full order; rows that repeat id and source are
+    one document.
+    """
+    one = F.lit(1 << 32)
+    rates = mix(docs, seed=seed)[0].where("size > 0").groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    part = F.expr("shiftleft(taken % size, 32) div size")
+    rates = stored(rates.select("doc_id", "source", "size", F.expr("taken div size").alias("whole"), part.alias("part"), F.floor(F.log2("size") * 8).cast("int").alias("band")), "rates")
+    before = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rates.groupBy("source", "band").agg(F.sum("part").alias("part")).select(F.col("source").alias("_source"), F.col("band").alias("_band"), F.coalesce(F.sum("part").over(before), F.lit(0)).alias("_before"))
+    put = placed(rates, ["source", "band"], ["size", "doc_id"], F.col("part"), "inside")
+    put = put.join(F.broadcast(starts), F.col("source").eqNullSafe(F.col("_source")) & (F.col("band") == F.col("_band")))
+    at = F.col("_before") + F.col("inside") + F.pmod(F.xxhash64("source", F.lit(seed)), one)
+    more = F.shiftright(at + F.col("part"), 32) - F.shiftright(at, 32)
+    return put.select("doc_id", "source", (F.col("whole") + more).cast("int").alias("times")).where("times > 0")
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken")

@@ -413,3 +413,19 @@ def test_dedup_stage_with_repeated_rows(spark, odd):
     out = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, odd, SF)
     assert out.columns == odd.columns
     assert out.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in odd.collect()})
+
+
+def test_mixing_stage_meets_targets_with_long_documents(spark):
+    rng = np.random.default_rng(1)
+    hot = [("s01", int(n)) for n in rng.integers(200, 3000, 60)]
+    rows = [(k, s, n) for k, (s, n) in enumerate(hot + [(f"s{i:02d}", int(n)) for i in range(20) if i != 1 for n in rng.integers(100, 2300, 10)])]
+    data = spark.createDataFrame([(k, "w " * n, "en", s, 2 * n) for k, s, n in rows], SCHEMA)
+    want = {r.source: r.target for r in mixing.mix(data)[0].select("source", "target").distinct().collect()}
+    sizes = {s: [n for _, x, n in rows if x == s] for s in want}
+    assert want["s01"] < 0.4 * sum(sizes["s01"])
+    got = collections.defaultdict(list)
+    for r in dict(corpus_pipeline.STAGES)["mixing"](spark, data, SF).collect():
+        got[r.source].append(r.n_chars // 2)
+    for s, goal in want.items():
+        assert abs(sum(got[s]) - goal) <= 1.5 * max(sizes[s]), s
+    assert any(n >= 1500 for n in got["s01"])
