@@ -152,11 +152,10 @@ def log_classes(p: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray) ->
 def gradients(p: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean cross-entropy of the valid targets."""
     z, (x, xq, q, k, v, a, c, h) = forward(p, rows)
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(z)), cls.reshape(-1)] -= 1
-    z *= (valid.reshape(-1, 1) / max(1, int(valid.sum()))).astype(np.float32)
+    np.exp(z, out=z)  # bounded, see Adam
+    weight = (valid.reshape(-1) / max(1, int(valid.sum()))).astype(np.float32)
+    z *= (weight / (z @ np.ones(CLASSES, z.dtype)))[:, None]
+    z[np.arange(len(z)), cls.reshape(-1)] -= weight
     flat2 = lambda t: t.reshape(-1, WIDTH)
     g = {"out": flat2(h).T @ z}
     dh = (z @ p["out"].T).reshape(h.shape) * (1 - h * h)
@@ -171,7 +170,9 @@ def gradients(p: dict[str, np.ndarray], rows: np.ndarray, cls: np.ndarray, valid
     dx[:, STRIDE:] += dh + dq @ p["wq"].T
     g["place"] = dx.sum(0)
     g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], rows.reshape(-1), flat2(dx))
+    order = np.argsort(rows, axis=None, kind="stable")
+    own, first = np.unique(rows.reshape(-1)[order], return_index=True)
+    g["embed"][own] = np.add.reduceat(flat2(dx)[order], first)
     g["embed"][PAD] = 0
     return g
 

@@ -24,8 +24,8 @@ from grovespark.runtime import stored, width
 
 FOLDS, HELD = 7, 2
 CHUNK = 3 << 20
-#: One window in SAMPLE of every training text moves the weights; all training texts count in the statistics.
-SAMPLE, ROUNDS, BATCH, RATE = 48, 2, 64, 4e-3
+#: Every window of every training text moves the weights in one of the rounds.
+ROUNDS, BATCH, RATE = 2, 64, 4e-3
 #: Windows scored at once.
 BLOCK = 96
 _U = np.uint64
@@ -178,6 +178,13 @@ def _some(sizes: np.ndarray, ids: np.ndarray, most: int = 1 << 18) -> Iterator[t
         lo, at = hi, int(ends[hi - 1])
 
 
+def turns(windows: int, chunk: int, first: int, turn: int) -> np.ndarray:
+    """The windows of round ``turn``, shuffled; each window is in one round."""
+    salt = mix(np.array([chunk * 4099 + first]).astype(_U))[0]
+    order = np.argsort(mix(np.arange(windows).astype(_U) ^ salt), kind="stable")
+    return order[turn::ROUNDS]
+
+
 def train(chunks: DataFrame) -> tuple[lm.Ids, dict[str, np.ndarray]]:
     """Statistics over all training texts, then rounds of weights learned by every task and averaged."""
     own = chunks.select("chunk", "docs", "sizes", "ids")
@@ -212,30 +219,29 @@ def train(chunks: DataFrame) -> tuple[lm.Ids, dict[str, np.ndarray]]:
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             adam = lm.Adam({k: v.copy() for k, v in now.items()}, RATE / (1 + turn))
-            picked, seen = [], 0
+            left, seen = [], 0  # windows short of a batch
 
-            def step() -> None:
-                rows, cls, valid = (np.concatenate([p[k] for p in picked]) for k in range(3))
-                for lo in range(0, len(rows) - BATCH + 1, BATCH) if len(rows) >= BATCH else [0]:
-                    k = slice(lo, lo + BATCH)
+            def step(windows: list[np.ndarray], last: bool = False) -> list[np.ndarray]:
+                rows, cls, valid = windows
+                end = len(rows) if last else len(rows) // BATCH * BATCH
+                for lo in range(0, end, BATCH):
+                    k = slice(lo, min(lo + BATCH, end))
                     adam.move(lm.gradients(adam.p, rows[k], cls[k], valid[k]))
+                return [w[end:] for w in windows]
 
             for chunk, docs, sizes, ids in _texts(batches):
                 fit = docs[2] == 0
                 ids, sizes = ids[np.repeat(fit, sizes)], sizes[fit]
                 for part, n, own_ids in _some(sizes, ids):
                     inputs, aims, _ = lm.windows(own_ids, n)
-                    salt = _U(chunk * 4099 + part.start + turn * 977)
-                    pick = mix(np.arange(len(inputs)).astype(_U) ^ mix(np.array([salt]))[0]) % _U(SAMPLE) == 0
+                    pick = turns(len(inputs), chunk, part.start, turn)
                     inputs, aims = inputs[pick], aims[pick]
                     text = lm.padded(own_ids, n)
-                    picked.append((np.where(inputs > 0, known.row[text[inputs]], lm.PAD), known.cls[text[aims]], aims > 0))
+                    more = [np.where(inputs > 0, known.row[text[inputs]], np.int32(lm.PAD)), known.cls[text[aims]], aims > 0]
+                    left = step([np.concatenate(w) for w in zip(left, more)] if left else more)
                     seen += len(inputs)
-                    if sum(len(p[0]) for p in picked) >= 16 * BATCH:
-                        step()
-                        picked = []
-            if picked and any(len(p[0]) for p in picked):
-                step()
+            if seen:
+                step(left, last=True)
             yield table_rows(np.append(lm.flat(adam.p).astype(np.float64) * seen, float(seen)), 16)
 
         got = summed(own.mapInArrow(trimmed(learn), "block int, part binary"), np.float64, 16)

@@ -429,3 +429,15 @@ def test_mixing_stage_meets_targets_with_long_documents(spark):
     for s, goal in want.items():
         assert abs(sum(got[s]) - goal) <= 1.5 * max(sizes[s]), s
     assert any(n >= 1500 for n in got["s01"])
+
+
+def test_every_window_moves_the_weights_once(spark):
+    for many in (0, 1, 2, 65, 1000):
+        both = np.concatenate([lm_scoring.turns(many, 7, 3, t) for t in range(lm_scoring.ROUNDS)])
+        assert sorted(both.tolist()) == list(range(many))
+    # A number is a subword or two, and all windows but those of the first batch move the rows of their inputs.
+    data = spark.createDataFrame([(k, str(k), "en", "s", 0) for k in range(600)], SCHEMA).coalesce(1)
+    chunks = lm_scoring.coded(data, tokens.default_path())
+    _, params = lm_scoring.train(chunks)
+    begin = lm.start(np.zeros((lm.INPUTS, lm.CLASSES)))
+    assert (params["embed"] != begin["embed"]).any(1).sum() > 300
