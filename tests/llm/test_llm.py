@@ -441,3 +441,9 @@ def test_every_window_moves_the_weights_once(spark):
     _, params = lm_scoring.train(chunks)
     begin = lm.start(np.zeros((lm.INPUTS, lm.CLASSES)))
     assert (params["embed"] != begin["embed"]).any(1).sum() > 300
+
+
+def test_frequent_ids_have_classes_of_their_own():
+    known = lm.ids_of(np.arange(lm.VOCAB, 0, -1))
+    own = np.bincount(known.cls, minlength=lm.CLASSES) == 1
+    assert own[known.cls[:255]].all() and lm.WIDTH >= 32
