@@ -61,7 +61,7 @@ def plan(counts: np.ndarray, triples: bool = True) -> list[tuple[tuple[int, ...]
                 continue
             found = None
             if triples:
-                for x in (np.flatnonzero(h[1 : gap - 1]) + 1)[::-1][:64].tolist():
+                for x in (np.flatnonzero(h[1 : gap - 1]) + 1)[::-1].tolist():
                     if has([top, x]) and (found := pair(gap - x, [top, x])):
                         found = [x, *found]
                         break

@@ -447,3 +447,9 @@ def test_frequent_ids_have_classes_of_their_own():
     known = lm.ids_of(np.arange(lm.VOCAB, 0, -1))
     own = np.bincount(known.cls, minlength=lm.CLASSES) == 1
     assert own[known.cls[:255]].all() and lm.WIDTH >= 32
+
+
+def test_triples_are_searched_among_all_lengths():
+    # 75 longer first lengths have no exact complement.
+    h = np.bincount([500, 300, 120, 104, *range(421, 496)], minlength=1025)
+    assert ((500, 300, 120, 104), 1) in packing.plan(h)
