@@ -17,66 +17,86 @@ from grovespark.runtime import stored
 LIMIT, END = 1024, 2
 
 
+class SumIndex:
+    """Sums of one, two and three available lengths, hashed by their value.
+
+    ``pairs[s]`` lists the greater members of the pairs of sum s; a pair leaves
+    its list once a member is used up. ``live[s]`` counts the pairs left, so that
+    the triples of a sum are the lengths whose rest still has a pair.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.h = np.array(counts, np.int64)
+        lengths = np.flatnonzero(self.h[1:]) + 1
+        self.live = np.zeros(len(self.h), np.int64)
+        self.pairs: dict[int, list[int]] = {}
+        for a in lengths.tolist():  # ascending, so that a list ends with its longest
+            for s in (a + lengths[(lengths <= a) & (lengths < len(self.h) - a)]).tolist():
+                self.pairs.setdefault(s, []).append(a)
+                self.live[s] += 1
+
+    def has(self, items: list[int]) -> bool:
+        return all(self.h[x] >= items.count(x) for x in set(items))
+
+    def take(self, items: list[int]) -> int:
+        """Consume the combination as often as its counts allow."""
+        n = min(int(self.h[x]) // items.count(x) for x in set(items))
+        for x in set(items):
+            self.h[x] -= n * items.count(x)
+        for x in {x for x in items if not self.h[x]}:
+            rest = np.flatnonzero(self.h[1 : len(self.h) - x]) + 1
+            self.live[x + rest] -= 1
+            if 2 * x < len(self.h):
+                self.live[2 * x] -= 1
+            for y in {y for y in items if y != x and not self.h[y] and y < x and x + y < len(self.h)}:
+                self.live[x + y] -= 1  # both went at once
+        return n
+
+    def single(self, gap: int, rest: list[int]) -> list[int] | None:
+        return [gap] if self.has([*rest, gap]) else None
+
+    def pair(self, gap: int, rest: list[int]) -> list[int] | None:
+        """The pair of sum ``gap`` with the longest first member that is available beside ``rest``."""
+        own = self.pairs.get(gap, [])
+        own[:] = [a for a in own if self.h[a] and self.h[gap - a]]
+        return next(([a, gap - a] for a in reversed(own) if self.has([*rest, a, gap - a])), None)
+
+    def triple(self, gap: int, rest: list[int]) -> list[int] | None:
+        x = np.arange(gap - 2, 0, -1)
+        for first in x[(self.h[x] > 0) & (self.live[gap - x] > 0)].tolist():
+            if found := self.pair(gap - first, [*rest, first]):
+                return [first, *found]
+        return None
+
+    def fitting(self, gap: int, rest: list[int]) -> int:
+        """The longest available length of at most ``gap``, 0 if there is none."""
+        return next((int(x) for x in np.flatnonzero(self.h[1 : gap + 1])[::-1] + 1 if self.has([*rest, int(x)])), 0)
+
+
 def plan(counts: np.ndarray, triples: bool = True) -> list[tuple[tuple[int, ...], int]]:
     """Fill sequences of ``len(counts) - 1`` tokens: (lengths in a sequence, sequences filled so).
 
     ``counts[n]`` pieces have length n. From the longest piece down, the gap it
-    leaves is looked up among the sums of one, two and three lengths, and a
-    combination that fills it exactly is consumed as often as its counts allow.
-    A piece without an exact complement takes the longest pieces that fit (best
-    fit) until nothing fits.
+    leaves is looked up in the index of the sums of one, two and three lengths,
+    and a combination that fills it exactly is consumed as often as its counts
+    allow. A piece without an exact complement takes the longest pieces that fit
+    (best fit) until nothing fits.
     """
-    h = np.array(counts, np.int64)
-    limit = len(h) - 1
+    index = SumIndex(counts)
+    limit = len(index.h) - 1
     out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(items: list[int]) -> None:
-        lengths, each = np.unique(items, return_counts=True)
-        n = int((h[lengths] // each).min())
-        h[lengths] -= each * n
-        out.append((tuple(sorted(items, reverse=True)), n))
-
-    def has(items: list[int]) -> bool:
-        lengths, each = np.unique(items, return_counts=True)
-        return bool((h[lengths] >= each).all())
-
-    def pair(gap: int, rest: list[int]) -> list[int] | None:
-        a = np.arange(gap - 1, (gap - 1) // 2, -1)  # a >= gap - a > 0
-        for x in a[(h[a] > 0) & (h[gap - a] > 0)][:8].tolist():
-            if has([*rest, x, gap - x]):
-                return [x, gap - x]
-        return None
-
     for top in range(limit, 0, -1):
-        while h[top]:
-            gap = limit - top
-            if not gap:
-                take([top])
-                continue
-            if h[gap] and has([top, gap]):
-                take([top, gap])
-                continue
-            if found := pair(gap, [top]):
-                take([top, *found])
-                continue
-            found = None
-            if triples:
-                for x in (np.flatnonzero(h[1 : gap - 1]) + 1)[::-1].tolist():
-                    if has([top, x]) and (found := pair(gap - x, [top, x])):
-                        found = [x, *found]
-                        break
-            if found:
-                take([top, *found])
-                continue
-            items, left = [top], gap
-            while left:
-                fits = np.flatnonzero(h[1 : left + 1])[::-1] + 1
-                x = next((int(x) for x in fits if has([*items, int(x)])), 0)
-                if not x:
-                    break
-                items.append(x)
-                left -= x
-            take(items)
+        while index.h[top]:
+            gap, items = limit - top, [top]
+            if gap:
+                found = index.single(gap, items) or index.pair(gap, items) or (index.triple(gap, items) if triples else None)
+                if found:
+                    items += found
+                else:
+                    while gap and (x := index.fitting(gap, items)):
+                        items.append(x)
+                        gap -= x
+            out.append((tuple(sorted(items, reverse=True)), index.take(items)))
     return out
 
 

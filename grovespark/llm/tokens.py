@@ -4,7 +4,7 @@ A tokenizer of this kind never joins characters across a single space or line
 feed between two other characters. So the ids of a text are those of its words,
 and a word (with the space before it) always has the same ids. Words met before
 are looked up by hash in a table; new ones are encoded once. Texts with other
-white space are encoded whole.
+white space, or with what may be a special token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import numpy as np
 from grovespark.llm.textops import Slice, mix
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Strings that are one token wherever they stand: fixed values of the vocabulary.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Slots of a worker's word table; at half of them it starts anew.
 TABLE = 1 << 20
 _U = np.uint64
@@ -46,6 +48,7 @@ def _odd(s: Slice) -> np.ndarray:
     if len(d) > 1:
         bad[1:] |= ws[1:] & ws[:-1]
         a, b = d[:-1], d[1:]
+        bad[:-1] |= (a == 0x3C) & (b == 0x7C)  # what special tokens begin with
         bad[:-1] |= (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
     if len(d) > 2 and (np.any(d == 0xE2) or np.any(d == 0xE1) or np.any(d == 0xE3)):
         a, b, c = d[:-2], d[1:-1], d[2:]
@@ -58,14 +61,14 @@ def _odd(s: Slice) -> np.ndarray:
 
 
 class Coder:
-    """Ids by the ranks of a byte-level vocabulary; strings of special tokens in a text are ordinary text."""
+    """Ids by the ranks of a byte-level vocabulary; a special token in a text is its one id."""
 
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
         self.spaced = np.zeros(max(ranks.values()) + 1, bool)
         self.spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.marks = {c: ranks[c.encode()] for c in "\n.,"}
@@ -77,7 +80,7 @@ class Coder:
         self.start, self.size = np.arange(3), np.ones(3, np.int64)
 
     def whole(self, text: bytes) -> np.ndarray:
-        return np.array(self.bpe.encode_ordinary(text.decode("utf-8", "replace")), np.uint16)
+        return np.array(self.bpe.encode(text.decode("utf-8", "replace"), allowed_special="all"), np.uint16)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Entry of each key, -1 if it has none."""
