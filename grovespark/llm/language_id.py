@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,22 +11,33 @@ from pyspark.sql import DataFrame, functions as F
 
 from grovespark.llm.frames import clean, documents, fold
 from grovespark.llm.textops import Slice, blobs, slices, strings, trimmed
-from grovespark.runtime import width
+from grovespark.runtime import stored, width
 
-#: Bytes of the longest context; bytes of all languages' code lengths together, which bounds the trees.
-ORDER, TABLE_BYTES = 3, 128 << 20
+ORDER = 3
+#: Entries (a byte after a context, for one language) that the tasks hold at once. Trees with more are used in turns, each a part of them.
+ENTRIES = 6_000_000
+#: Bytes of text worked on at once; numbers of a worker's memo.
+PIECE, MEMO = 1 << 20, 8 << 20
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
 _START = 10  # the byte that stands before a text
+_MASKS = [np.uint32((1 << 8 * (k + 1)) - 1) for k in range(ORDER + 1)]
 
 
-def codes(s: Slice) -> np.ndarray:
-    """For each byte, the three before it in its text and itself, as a 32-bit number."""
-    many = np.diff(s.offs)
-    at = np.arange(len(s.data)) + np.repeat(ORDER * np.arange(1, s.n + 1), many)
-    wide = np.full(len(s.data) + ORDER * s.n, _START, np.uint32)
-    wide[at] = s.data
-    return wide[at - 3] << np.uint32(24) | wide[at - 2] << np.uint32(16) | wide[at - 1] << np.uint32(8) | wide[at]
+def codes(s: Slice, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """For each byte ``lo..hi``, the three before it in its text and itself, as a 32-bit number."""
+    hi = len(s.data) if hi is None else hi
+    at = np.arange(lo, hi)
+    begin = s.offs[np.searchsorted(s.offs, at, "right") - 1]
+    out = s.data[lo:hi].astype(np.uint32)
+    for k in range(1, ORDER + 1):
+        before = np.where(at - k >= begin, s.data[np.maximum(at - k, 0)], np.uint8(_START))
+        out |= before.astype(np.uint32) << np.uint32(8 * k)
+    return out
+
+
+def _pieces(s: Slice) -> Iterator[tuple[int, int]]:
+    return ((lo, min(lo + PIECE, len(s.data))) for lo in range(0, len(s.data), PIECE))
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -34,17 +46,36 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return u, np.bincount(back, c, len(u)).astype(np.int64)
 
 
-def context_counts(docs: DataFrame, totals: dict[str, int], per_order: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """The pruned trees: (language number, order, context and byte codes, counts) in parts.
+class _Tally:
+    """Counts by key for each name, merged as they come."""
+
+    def __init__(self) -> None:
+        self.held: dict[tuple[int, int], tuple[list, list]] = {}
+
+    def add(self, name: tuple[int, int], keys: np.ndarray, counts: np.ndarray) -> None:
+        ks, cs = self.held.setdefault(name, ([], []))
+        ks.append(keys)
+        cs.append(counts)
+        if len(ks) >= 16:
+            k, c = _merge(ks, cs)
+            self.held[name] = [k], [c]
+
+    def merged(self) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray]]:
+        for name in list(self.held):
+            yield name, *_merge(*self.held.pop(name))
+
+
+_TREE = "bucket int, lang int, ord int, keys binary, counts binary"
+
 
-    A context of a language stays if it has at least 1/per_order of the
-    language's bytes, so at most ``per_order`` contexts an order stay, whatever
-    the size of the input; every byte of all training texts is counted.
+def context_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """How often each byte follows each context of up to ORDER bytes, by language, over all training texts.
+
+    Rows (bucket, lang, ord, keys, counts): keys are context and byte codes of
+    order ``ord``. A bucket holds the codes of some preceding bytes.
     """
-    langs = {lang: i for i, lang in enumerate(sorted(totals))}
-    least = {langs[lang]: max(2.0, n / per_order) for lang, n in totals.items()}
+    number = {lang: i for i, lang in enumerate(langs)}
     parts = width(docs.sparkSession)
-    schema = "bucket int, lang int, ord int, keys binary, counts binary"
 
     def rows(lang: int, order: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         bucket = (((keys >> 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
@@ -55,138 +86,220 @@ def context_counts(docs: DataFrame, totals: dict[str, int], per_order: int) -> l
         return pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array([lang] * n, pa.int32()), pa.array([order] * n, pa.int32()), pa.array([k.astype(np.uint32).tobytes() for k in ks]), pa.array([c.astype(np.int64).tobytes() for c in cs])], ["bucket", "lang", "ord", "keys", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        tally = _Tally()
         for b in batches:
-            lang = np.array([langs.get(x, -1) for x in b.column(1).to_pylist()])
+            lang = np.array([number.get(x, -1) for x in b.column(1).to_pylist()])
             for s in slices(strings(b)):
-                code, own = codes(s), np.repeat(lang[s.lo : s.hi], np.diff(s.offs))
-                for i in np.unique(own[own >= 0]).tolist():
-                    k, c = np.unique(code[own == i], return_counts=True)
-                    ks, cs = held.setdefault(i, ([], []))
-                    ks.append(k)
-                    cs.append(c)
-                    if len(ks) >= 16:
-                        k, c = _merge(ks, cs)
-                        held[i] = [k], [c]
-        for i, (ks, cs) in held.items():
-            k, c = _merge(ks, cs)
+                for lo, hi in _pieces(s):
+                    code = codes(s, lo, hi)
+                    own = lang[s.lo + np.searchsorted(s.offs, np.arange(lo, hi), "right") - 1]
+                    for i in np.unique(own[own >= 0]).tolist():
+                        tally.add((i, ORDER), *np.unique(code[own == i], return_counts=True))
+        for (i, _), k, c in tally.merged():
             for order in range(ORDER, -1, -1):
-                k, c = _merge([k & np.uint32((1 << 8 * (order + 1)) - 1)], [c])
+                k, c = _merge([k & _MASKS[order]], [c])
                 yield rows(i, order, k, c)
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[list, list]] = {}
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
         for b in batches:
             for lang, order, k, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), blobs(b, "keys", np.uint32), blobs(b, "counts", np.int64)):
-                ks, cs = held.setdefault((lang, order), ([], []))
-                ks.append(k)
-                cs.append(c)
-                if len(ks) >= 16:
-                    k, c = _merge(ks, cs)
-                    held[lang, order] = [k], [c]
-        for (lang, order), (ks, cs) in held.items():
-            k, c = _merge(ks, cs)
-            ctx, back = np.unique(k >> np.uint32(8), return_inverse=True)
-            keep = (np.bincount(back, c) >= least[lang])[back]
-            if keep.any():
-                yield rows(lang, order, k[keep], c[keep])
+                tally.add((lang, order), k, c)
+        for (lang, order), k, c in tally.merged():
+            yield rows(lang, order, k, c)
 
-    own = docs.mapInArrow(trimmed(count), schema).repartitionById(parts, F.col("bucket")).mapInArrow(trimmed(prune), schema)
-    return [(r.lang, r.ord, np.frombuffer(r.keys, np.uint32), np.frombuffer(r.counts, np.int64)) for r in own.toLocalIterator()]
+    return docs.mapInArrow(trimmed(count), _TREE).repartitionById(parts, F.col("bucket")).mapInArrow(trimmed(total), _TREE)
 
 
-def code_lengths(parts: list[tuple[int, int, np.ndarray, np.ndarray]], langs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts ``order << 24 | bytes`` in order, and nats of each byte after each context for each language.
+def turns(trees: DataFrame, langs: int, most: int) -> list[np.ndarray]:
+    """Parts of the trees, each flags (language, preceding byte) of at most about ``most`` entries, which together hold every cell once."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, k in zip(b.column(1).to_pylist(), blobs(b, "keys", np.uint32)):
+                byte, n = np.unique(k >> np.uint32(8) & np.uint32(255), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.int32()), pa.array(byte.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "byte", "n"])
+
+    cells = trees.where("ord > 0").mapInArrow(sizes, "lang int, byte int, n long").groupBy("lang", "byte").agg(F.sum("n").alias("n")).collect()  # at most 256 a language
+    out, room = [np.zeros((langs, 256), bool)], most
+    for r in sorted(cells):
+        if r.n > room and out[-1].any():
+            out.append(np.zeros((langs, 256), bool))
+            room = most
+        out[-1][r.lang, r.byte] = True
+        room -= r.n
+    out[-1][~np.any(out, axis=0)] = True  # cells without entries: only order 0
+    return out
+
+
+class Model:
+    """Code lengths in nats by the trees of one language: seen bytes and escapes of each context.
 
     A byte seen after a context costs by its count; one not seen costs the
     escape (as many as there are distinct bytes) and then what the next shorter
-    context says of the bytes that the longer one excludes. A context that a
-    language's tree lacks is replaced by the next shorter one at no cost.
+    context says of the bytes that the longer one excludes. A context that was
+    never met is replaced by the next shorter one at no cost.
     """
-    trees: dict[tuple[int, int], dict[int, np.ndarray]] = {}
-    for lang, order, keys, counts in parts:
-        for ctx in np.unique(keys >> 8).tolist():
-            own = keys >> 8 == ctx
-            trees.setdefault((lang, order), {}).setdefault(ctx, np.zeros(256))[keys[own] & 255] += counts[own]
-    nodes = sorted({order << 24 | ctx for (_, order), t in trees.items() for ctx in t} | {0})
-    where = {n: i for i, n in enumerate(nodes)}
-    prob = np.full((len(nodes), 256, langs), 1 / 256)
-    for i, node in enumerate(nodes):
-        order, ctx = node >> 24, node & 0xFFFFFF
-        short = None
-        for k in range(order - 1, -1, -1):
-            if (short := where.get(k << 24 | ctx & ((1 << 8 * k) - 1))) is not None:
-                break
-        base = prob[short] if order else prob[i].copy()
-        for lang in range(langs):
-            c = trees.get((lang, order), {}).get(ctx)
-            below = base[:, lang]
-            if c is None:
-                prob[i, :, lang] = below
+
+    def __init__(self, trees: list[tuple[np.ndarray, np.ndarray]]):
+        """``trees``: for each order sorted keys and counts; order 0 is whole, the others may be some preceding bytes' part."""
+        zero = np.zeros(256)
+        zero[trees[0][0]] = trees[0][1]
+        kinds = int((zero > 0).sum())
+        escape = kinds if kinds < 256 else 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.zero = np.where(zero > 0, zero / (zero.sum() + escape), 1 / max(1, 256 - kinds) * escape / (zero.sum() + escape)) if kinds else np.full(256, 1 / 256)
+        below = np.arange(256, dtype=np.uint32), self.zero
+        self.keys, self.costs, self.nodes, self.escapes = [], [], [], []
+        for order in range(1, ORDER + 1):
+            keys, counts = trees[order]
+            nodes, first, many = np.unique(keys >> np.uint32(8), return_index=True, return_counts=True)
+            total = np.add.reduceat(counts, first) if len(keys) else counts
+            escape = np.where(many < 256, many, 0)
+            prob = counts / np.repeat(total + escape, many)
+            short = below[1][np.searchsorted(below[0], keys & _MASKS[order - 1])]  # what the shorter context gave the bytes seen here
+            rest = 1 - (np.add.reduceat(short, first) if len(keys) else short)
+            self.keys.append(keys)
+            self.costs.append(-np.log(prob).astype(np.float32))
+            self.nodes.append(nodes)
+            self.escapes.append(-np.log(np.maximum(escape / (total + escape) / np.maximum(rest, 1e-12), 1e-30)).astype(np.float32))
+            below = keys, prob
+
+    def cost(self, code: np.ndarray) -> np.ndarray:
+        """Nats of each (context, byte) code of order ORDER."""
+        out = np.zeros(len(code), np.float32)
+        left = np.arange(len(code))
+        for order in range(ORDER, 0, -1):
+            keys, nodes = self.keys[order - 1], self.nodes[order - 1]
+            if not len(keys):
                 continue
-            seen = c > 0
-            escape = seen.sum() if not seen.all() else 0
-            rest = below[~seen].sum()
-            prob[i, :, lang] = np.where(seen, c / (c.sum() + escape), escape / (c.sum() + escape) * below / max(rest, 1e-300))
-    return np.array(nodes, np.int64), -np.log(np.maximum(prob, 1e-30)).astype(np.float32)
+            own = code[left] & _MASKS[order]
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            seen = keys[at] == own
+            out[left[seen]] += self.costs[order - 1][at[seen]]
+            left, own = left[~seen], own[~seen] >> np.uint32(8)
+            at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+            known = nodes[at] == own
+            out[left[known]] += self.escapes[order - 1][at[known]]
+        out[left] -= np.log(np.maximum(self.zero[code[left] & np.uint32(255)], 1e-30)).astype(np.float32)
+        return out
+
+
+def models(trees: DataFrame, cells: np.ndarray) -> list[Model]:
+    """The models of all languages for the cells of a turn."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for bucket, lang, order, k, c in zip(*(b.column(i).to_pylist() for i in range(3)), blobs(b, "keys", np.uint32), blobs(b, "counts", np.int64)):
+                keep = cells[lang][k >> np.uint32(8) & np.uint32(255)] if order else np.ones(len(k), bool)
+                rows.append((bucket, lang, order, k[keep].tobytes(), c[keep].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "lang", "ord", "keys", "counts"])
 
+    got: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in trees.mapInArrow(chosen, _TREE).toLocalIterator():
+        got.setdefault((r.lang, r.ord), []).append((np.frombuffer(r.keys, np.uint32), np.frombuffer(r.counts, np.int64)))
+    none = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+    return [Model([_merge(*zip(*got.get((lang, order), none))) for order in range(ORDER + 1)]) for lang in range(len(cells))]
 
-_lookups: dict[bytes, np.ndarray] = {}
 
+class _Memo:
+    """Costs of the codes met so far, for every language of a turn; starts anew when it holds MEMO numbers."""
 
-def lookup(nodes: np.ndarray) -> np.ndarray:
-    """Number of the longest context in ``nodes`` for every three bytes; made once in each Python process."""
-    key = nodes.tobytes()
-    if key not in _lookups:
-        _lookups.clear()
-        table = np.zeros((256, 256, 256), np.uint16 if len(nodes) < 65536 else np.uint32)
-        for i, node in enumerate(nodes.tolist()):
-            order, a, b, c = node >> 24, node >> 16 & 255, node >> 8 & 255, node & 255
-            table[(slice(None), slice(None), slice(None), a)[order], (slice(None), slice(None), b, b)[order], (slice(None), c, c, c)[order]] = i
-        _lookups[key] = table.reshape(-1)
-    return _lookups[key]
+    def __init__(self, own: list[Model]):
+        self.own, self.codes, self.costs = own, np.zeros(0, np.uint32), np.zeros((0, len(own)), np.float32)
 
+    def rows(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The table of costs, and the row of each code in it."""
+        u, back = np.unique(code, return_inverse=True)
+        new = np.setdiff1d(u, self.codes, assume_unique=True)
+        if len(new):
+            if (len(self.codes) + len(new)) * len(self.own) > MEMO:
+                self.codes, self.costs, new = self.codes[:0], self.costs[:0], u
+            codes = np.concatenate([self.codes, new])
+            order = np.argsort(codes)
+            self.codes = codes[order]
+            self.costs = np.concatenate([self.costs, np.stack([m.cost(new) for m in self.own], 1)])[order]
+        return self.costs, np.searchsorted(self.codes, u)[back]
 
-def language_id(docs: DataFrame) -> DataFrame:
+
+_memos: dict[str, _Memo] = {}
+
+
+def language_id(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
     """Predict the language of every document: doc_id, held_out, lang_pred, score, code_length.
 
-    Trees are learned from text and lang of documents outside the held-out fold
-    with a lang. score is the share of the prediction's likelihood in that of all
-    languages, code_length its nats. Of equal code lengths the first language by
-    code point wins. A null text, one without a letter, or a table without any
-    language gives ``und``, score 0 and no code length. A null doc_id is predicted
-    and not held out; rows that repeat a text agree; an empty table gives an empty
-    result; other columns are ignored.
+    Trees are learned from text and lang of all documents outside the held-out
+    fold with a lang, and no context is left out. score is the share of the
+    prediction's likelihood in that of all languages, code_length its nats. Of
+    equal code lengths the first language by code point wins. A null text, one
+    without a letter, or a table without any language gives ``und``, score 0 and
+    no code length. A null doc_id is predicted and not held out; rows that repeat a
+    text agree; an empty table gives an empty result; other columns are ignored;
+    a text of any length is worked on PIECE bytes at a time.
+
+    The tasks hold at most about ``entries`` entries of the trees; larger trees
+    are used in turns over a table of the texts and their code lengths so far, and
+    the sums are the same.
     """
+    spark = docs.sparkSession
     own = clean(docs, "doc_id", "text", "lang").withColumn("held_out", fold(FOLDS) == HELD)
     train = own.where("NOT held_out AND lang IS NOT NULL AND text <> ''")
-    totals = {r.lang: r.n for r in train.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    langs = sorted(totals)
-    per_order = max(64, TABLE_BYTES // (1024 * max(1, len(langs))) // (ORDER * max(1, len(langs))))
-    nodes, costs = code_lengths(context_counts(train.select("text", "lang"), totals, per_order), len(langs)) if langs else (np.zeros(1, np.int64), np.zeros((1, 256, 0), np.float32))
-    shared = docs.sparkSession.sparkContext.broadcast((nodes, costs.reshape(len(nodes) * 256, len(langs))))  # at most TABLE_BYTES
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, table = shared.value
-        longest = lookup(nodes)
-        for b in batches:
-            letters = b.column(3).to_numpy(zero_copy_only=False)
-            for s in slices(strings(b)):
-                total = np.zeros((s.n, len(langs)))
-                some = np.flatnonzero(np.diff(s.offs))
-                if len(some) and langs:
-                    code = codes(s)
-                    cost = table[longest[code >> np.uint32(8)].astype(np.int64) * 256 + (code & np.uint32(255))]
-                    total[some] = np.add.reduceat(cost, s.offs[:-1][some], dtype=np.float64)
-                known = letters[s.lo : s.hi] & bool(langs)
-                best = total.argmin(1) if langs else np.zeros(s.n, np.int64)
-                least = total.min(1) if langs else np.zeros(s.n)
-                share = 1 / np.maximum(np.exp(np.clip(least[:, None] - total, -700, 0)).sum(1), 1)
-                names = pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known.tolist())], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.lo, s.n), b.column(2).slice(s.lo, s.n), names, pa.array(np.where(known, share, 0.0)), pa.array(least, mask=~known)], ["doc_id", "held_out", "lang_pred", "score", "code_length"])
-
+    langs = sorted(r.lang for r in train.select("lang").distinct().collect())
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    return own.select("doc_id", "text", "held_out", letter).mapInArrow(trimmed(predict), "doc_id long, held_out boolean, lang_pred string, score double, code_length double")
+    rows = own.select("doc_id", "text", "held_out", letter)
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, code_length double"
+    if not langs:
+        return rows.selectExpr("doc_id", "held_out", f"'{UNKNOWN}' AS lang_pred", "double(0) AS score", "double(NULL) AS code_length")
+    trees = stored(context_counts(train.select("text", "lang"), langs), "trees")
+    parts = turns(trees, len(langs), entries)
+
+    def lengths(batch: pa.RecordBatch, key: str, held: list[Model], cells: np.ndarray) -> np.ndarray:
+        """Nats of the texts of a batch in the cells of a turn, by language."""
+        if key not in _memos:
+            _memos.clear()
+            _memos[key] = _Memo(held)
+        total = np.zeros((batch.num_rows, len(langs)))
+        for s in slices(strings(batch)):
+            for lo, hi in _pieces(s):
+                code = codes(s, lo, hi)
+                table, at = _memos[key].rows(code)
+                byte = code >> np.uint32(8) & np.uint32(255)
+                cut = np.clip(s.offs, lo, hi) - lo
+                some = np.flatnonzero(np.diff(cut))
+                for k in range(len(langs)):
+                    cost = table[:, k][at]
+                    if not cells[k].all():
+                        cost = cost * cells[k][byte]
+                    total[s.lo + some, k] += np.add.reduceat(cost, cut[:-1][some], dtype=np.float64)
+        return total
+
+    def predicted(b: pa.RecordBatch, total: np.ndarray) -> pa.RecordBatch:
+        known = b.column(3).to_numpy(zero_copy_only=False)
+        best, least = total.argmin(1), total.min(1)
+        share = 1 / np.maximum(np.exp(np.clip(least[:, None] - total, -700, 0)).sum(1), 1)
+        names = pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known.tolist())], pa.string())
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), names, pa.array(np.where(known, share, 0.0)), pa.array(least, mask=~known)], ["doc_id", "held_out", "lang_pred", "score", "code_length"])
+
+    for k, cells in enumerate(parts):
+        shared = spark.sparkContext.broadcast((f"{uuid.uuid4().hex}-{k}", models(trees, cells), cells))  # at most about ``entries``, as counted
+        first, last = k == 0, k == len(parts) - 1
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                total = lengths(b, *shared.value)
+                if not first:
+                    total += np.array(b.column(4).to_pylist()).reshape(total.shape)
+                if last:
+                    yield predicted(b, total)
+                else:
+                    yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(total.tolist(), pa.list_(pa.float64()))], ["doc_id", "text", "held_out", "letter", "lengths"])
+
+        rows = rows.mapInArrow(trimmed(work), schema if last else "doc_id long, text string, held_out boolean, letter boolean, lengths array<double>")
+        if not last:
+            rows = stored(rows, "lengths")
+    return rows
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

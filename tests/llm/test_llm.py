@@ -306,15 +306,50 @@ def test_quality_counts_by_brute_force(docs, labels, odd, none):
     assert quality_rules.quality_rules(none, labels.limit(0)).count() == 0
 
 
-def test_code_lengths_follow_the_counts():
-    keys = np.array([0x000061, 0x000062], np.uint32)  # order 0: a three times, b once
-    nodes, cost = language_id.code_lengths([(0, 0, keys, np.array([3, 1])), (0, 1, np.array([0x6162], np.uint32), np.array([2]))], 1)
-    p = np.exp(-cost[:, :, 0].astype(float))
-    assert p.sum(1) == pytest.approx(1, abs=1e-4) and p[0, ord("a")] == pytest.approx(3 / 6) and p[0, ord("z")] == pytest.approx(2 / 6 / 254)
-    after_a = list(nodes).index(1 << 24 | ord("a"))
-    assert p[after_a, ord("b")] == pytest.approx(2 / 3) and p[after_a, ord("a")] == pytest.approx(1 / 3 * (3 / 6) / (5 / 6))
-    table = language_id.lookup(nodes)
-    assert table[ord("x") << 16 | ord("y") << 8 | ord("a")] == after_a and table[0] == 0
+def ppm(texts):
+    """Nats of a byte after up to three others, by the definition: counts, escapes, exclusion."""
+    seen = collections.defaultdict(collections.Counter)
+    for t in texts:
+        wide = b"\n\n\n" + t.encode()
+        for k in range(3, len(wide)):
+            for n in range(4):
+                seen[wide[k - n : k]][wide[k]] += 1
+
+    def prob(context, byte):
+        own = seen.get(context)
+        if own is None:
+            return prob(context[1:], byte) if context else 1 / 256
+        escape = len(own) if len(own) < 256 else 0
+        total = sum(own.values()) + escape
+        if byte in own:
+            return own[byte] / total
+        below = (lambda c: prob(context[1:], c)) if context else (lambda c: 1 / 256)
+        return escape / total * below(byte) / (1 - sum(below(c) for c in own))
+
+    return lambda t: -sum(math.log(prob((b"\n\n\n" + t)[k : k + 3], c)) for k, c in enumerate(t))
+
+
+def test_code_lengths_by_brute_force(spark, odd, docs):
+    rows = [(r.doc_id, r.text and r.text[:300], r.lang) for r in docs.limit(40).collect()] + [(r.doc_id, r.text and r.text[:300], r.lang) for r in odd.collect()]
+    langs = sorted({x for _, _, x in rows if x})
+    cost = {x: ppm([t for i, t, y in rows if x == y and t and fold(i, 4) != 2]) for x in langs}
+    want = sorted((str(i), t or "", min((cost[x]((t or "").encode()), x) for x in langs)) for i, t, _ in rows)
+    data = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for entries in (language_id.ENTRIES, 700):
+        parts = language_id.turns(language_id.context_counts(data.where("lang IS NOT NULL AND text <> ''").select("text", "lang"), langs), len(langs), entries)
+        assert np.sum(parts, axis=0).tolist() == np.ones((len(langs), 256)).tolist() and (len(parts) == 1) == (entries > 700)
+        out = language_id.language_id(data, entries)
+        got = sorted((str(r.doc_id), r.code_length, r.lang_pred) for r in out.collect() if r.code_length is not None)
+        near = sorted((i, c, x) for i, t, (c, x) in want if any(ch.isalpha() for ch in t))
+        assert [(i, x) for i, _, x in got] == [(i, x) for i, _, x in near]
+        assert [c for _, c, _ in got] == pytest.approx([c for _, c, _ in near], rel=1e-4, abs=1e-3)
+
+
+def test_codes_do_not_depend_on_pieces():
+    s = next(textops.slices(pa.array(["ab", "", "cdefgh", None, "i"])))
+    whole = language_id.codes(s)
+    assert whole.tolist() == [int.from_bytes(x, "big") for x in (b"\n\n\na", b"\n\nab", b"\n\n\nc", b"\n\ncd", b"\ncde", b"cdef", b"defg", b"efgh", b"\n\n\ni")]
+    assert np.concatenate([language_id.codes(s, k, k + 1) for k in range(len(s.data))]).tolist() == whole.tolist()
 
 
 def test_languages(docs, odd, none):
