@@ -368,21 +368,50 @@ def test_languages(docs, odd, none):
 def test_mixing(spark, docs, odd, none):
     assert mixing.targets([10, 100, 1000], [3.0, 1.0, 2.0]) == pytest.approx([20, 200, 1445])
     assert sorted(mixing.permuted(np.arange(1000), 1000, 9).tolist()) == list(range(1000))
-    for data in (docs, odd):
+    image = mixing.permuted(np.arange(77), 77, 5)
+    assert [mixing.place_of(int(x), 77, 5) for x in image] == list(range(77))
+    tiny = spark.createDataFrame([(k, "w " * n, "en", s, n) for k, (s, n) in enumerate([("a", 6), ("b", 40), ("c", 100), ("d", 40_000), ("e", 0), ("f", 1), ("c", 29)])], SCHEMA)
+    for data in (docs, odd, tiny):
         (out, slots), rows = mixing.mix(data), data.collect()
         got = out.toPandas()
         assert len(got) == len(rows) and sorted(got["size"]) == sorted(len(W.findall(r.text or "")) for r in rows)
         assert (got.taken <= 2 * got["size"]).all() and (got.taken >= 0).all()
         by = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"), own=("size", "sum"))
-        assert (by["size"] == by.own).all() and ((by.taken - by.target).abs() <= 6 * mixing.BLOCK).all()
+        assert (by["size"] == by.own).all() and ((by.taken - by.target).abs() <= 0.5).all()
         again = mixing.mix(data)[0].toPandas()
         assert sorted(map(str, got.values.tolist())) == sorted(map(str, again.values.tolist()))
-        # Every slot is one block; a block's words are taken as often as it has slots.
-        words = slots.toPandas().groupby(["source_no", "block"]).size()
-        assert words.max() <= 2
+        # Slot by slot: each takes a block's first words from the documents that hold them.
+        slot = slots.toPandas()
+        taken = collections.Counter()
+        for no, own in got[got["size"] > 0].groupby("source_no"):
+            words = np.zeros(int(own["size"].sum()), int)
+            for x in slot[slot.source_no == no].itertuples():
+                words[x.block * mixing.BLOCK : x.block * mixing.BLOCK + x.words] += 1
+                assert x.held == len(words[x.block * mixing.BLOCK :][: mixing.BLOCK]) >= x.words > 0
+            assert words.max() <= 2 and sorted(slot[slot.source_no == no].slot) == list(range((slot.source_no == no).sum()))
+            for r in own.itertuples():
+                taken[no, r.first] = words[r.first : r.first + r.size].sum()
+        assert all(taken[r.source_no, r.first] == r.taken for r in got[got["size"] > 0].itertuples())
+        assert (slot.groupby("out_shard").size().sort_index()[:-1] == mixing.SHARD).all()
     assert mixing.mix(none)[0].count() == 0
 
 
+def test_shards_are_drawn_alike_in_any_range():
+    totals = np.array([5, 0, 70_000, 1, 130_000, 9999])
+    whole = list(mixing.draw(totals, 4096, 0, 10**9))
+    assert len(whole) == -(-int(totals.sum()) // 4096) and (sum(x[1] for x in whole) == totals).all()
+    at = np.zeros(6, np.int64)
+    for k, (shard, many, before) in enumerate(whole):
+        assert shard == k and (before == at).all() and (many.sum() == 4096 or k == len(whole) - 1)
+        at += many
+    part = list(mixing.draw(totals, 4096, 7, 11))
+    assert [(s, m.tolist(), b.tolist()) for s, m, b in part] == [(s, m.tolist(), b.tolist()) for s, m, b in whole[7:11]]
+    spread = np.array([x[1][2] for x in whole[:-1]])  # a multinomial varies by the root of its mean
+    assert 0.5 < spread.std() / math.sqrt(4096 * 1 / 3 * 2 / 3) < 1.6
+    huge = [next(iter(mixing.draw(np.array([3 * 10**11, 10**11, 7]), 4096, s, s + 1))) for s in (0, 10**7, 9 * 10**7)]
+    assert all(m.sum() == 4096 and b.sum() == s * 4096 for s, m, b in huge)
+
+
 def test_packing_round_trip(docs, odd, none):
     code = tokens.coder(tokens.default_path())
     for data in (docs, odd):
