@@ -1,10 +1,15 @@
 """N-gram Jaccard join (4): prefixes of rare shingles, combinations of frequent ones, then verification.
 
 Sets are compared as 48-bit shingle hashes. The order of shingles is by document
-frequency, then by hash; a set can only be similar to another if both have one
-shingle in common among their first ``n - ceil(t n) + 1`` (the prefix), and k of
-them if the prefix is k - 1 longer. Frequencies are exact and come from one
-exchange of the shingles; shingles of one document alone never leave their bucket.
+frequency, then by hash; two similar sets have one shingle in common among the
+first ``n - ceil(t n) + 1`` of each (the prefix), and 1 + k if the prefix is k
+longer. If the first one that they share is rare, they meet under it. Else all
+that they share are frequent; dealt to k groups, two of 1 + k are in one group,
+so they meet under a pair of frequent shingles of a group. With k near the length
+of the prefix a set has about two such pairs for each shingle of its prefix.
+
+Frequencies are exact and come from one exchange of the shingles; shingles of one
+document alone never leave their bucket.
 """
 
 from __future__ import annotations
@@ -24,12 +29,14 @@ from grovespark.runtime import stored, width
 SHINGLE, PERCENT = 5, 75
 #: Bytes of text and documents that a map task exchanges at once.
 CHUNK, CHUNK_DOCS = 6 << 20, 50_000
-#: A shingle of more documents than this is of a frequent class.
+#: A shingle of more documents than this is of the frequent class.
 FREQUENT = 32
-#: Frequent shingles of a prefix up to which all their pairs are indexed; a set with more indexes them one by one.
-WIDE = 64
-#: Rounds of star candidates, before all pairs across components that are left.
+#: Rounds in which the sets of a key meet one set of them, before all pairs across components that are left.
 STARS = 2
+#: Sets of a key that one task pairs at once in the last step; keys with more are cut into blocks.
+BLOCK = 256
+#: Sets of equal shingles with more than this share of all documents are joined by a broadcast, of 1 / HOT rows at most.
+HOT = 1e-3
 _U = np.uint64
 _BITS = _U(48)
 _MASK = _U((1 << 48) - 1)
@@ -228,90 +235,65 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
             ok[k] = 100 * common >= PERCENT * (na[k] + nb[k] - common)
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), batch.column(batch.schema.get_field_index("single")).filter(pa.array(ok))], ["a", "b", "single"])
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of each prefix and the one after it: their place in the set's order, whether they are frequent, how central the set is.
-
-    A set is the more central the more its shingles are shared: of a group of
-    near copies, the one they were made from.
-    """
-    for b in batches:
-        node, n, prefix, tokens, freqs = longs(b, "node")[0], longs(b, "n")[0], longs(b, "prefix")[0], blobs(b, "tokens", _U), blobs(b, "freqs", np.uint32)
-        if len(node):
-            prefix = np.minimum(prefix + 1, [len(t) for t in tokens])
-            toks = np.concatenate([t[:p] for t, p in zip(tokens, prefix.tolist())])
-            often = np.concatenate([f[:p] for f, p in zip(freqs, prefix.tolist())]) > FREQUENT
-            place = np.concatenate([np.arange(p) + (k - len(t)) for t, p, k in zip(tokens, prefix.tolist(), n.tolist())])
-            centre = np.array([np.log2(f).sum() / k for f, k in zip(freqs, n.tolist())])
-            yield pa.RecordBatch.from_arrays([pa.array(toks.view(np.int64)), pa.array(np.repeat(node, prefix)), pa.array(np.repeat(n, prefix)), pa.array(place), pa.array(often), pa.array(np.repeat(centre, prefix))], ["token", "node", "n", "place", "often", "centre"])
-
-
-#: Smallest set size of each size class.
-_SIZES = np.unique(np.ceil(1.1 ** np.arange(300)).astype(np.int64))
+def scale(n: int) -> int:
+    """Sizes from 4**k on, up to four times as much, are of scale k."""
+    return (n.bit_length() - 1) // 2
 
 
-def size_class(n: int) -> int:
-    return int(np.searchsorted(_SIZES, n, "right")) - 1
+def groups(k: int) -> int:
+    """Groups of frequent shingles, and shingles by which prefixes are extended, where the smaller set is of scale k."""
+    return max(1, 4**k // 4)
 
 
-def _indexer(singles: bool, present: frozenset[int]):
-    """Keys of the last step, for each class of partner sizes: rare shingles of the prefix, pairs of frequent ones of the extended prefix.
+def set_keys(n: int, tokens: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Index keys of a set of ``n`` shingles: keys, rooms, and how many keys are single shingles.
 
-    The greater the partner, the shorter the prefix in which both must meet.
-    ``mode`` 0 meets any set with the key; 1, a frequent shingle by itself (only
-    with ``singles``), counts if one of the two sets has too many for pairs.
-    ``room`` is how many shingles two sets can have in common that first meet here;
-    ``side`` tells the smaller class from the greater. ``present``: classes there are.
+    ``tokens``: its shingles of two documents or more, in order; ``often`` flags
+    the frequent ones. The room of a key is the most shingles that the set can
+    share with another that first meets it there.
     """
+    place = np.arange(len(tokens)) + (n - len(tokens))
+    prefix = n - least_overlap(n) + 1
+    rare = np.flatnonzero(~often & (place < prefix))
+    keys, rooms = [mix(tokens[rare])], [n - place[rare]]
+    if len(often) and (often & (place < prefix)).any():
+        for k in sorted({scale(n), scale(least_overlap(n))}):  # of the smaller of two sets
+            many = groups(k)
+            hot = np.flatnonzero(often & (place < prefix + many))
+            group = (mix(tokens[hot] ^ _U(0x452821E638D01377)) % _U(many)).astype(np.int64)
+            hot = hot[np.argsort(group, kind="stable")]
+            size = np.bincount(group, minlength=many)
+            ends = np.repeat(np.cumsum(size), size)  # each meets the later ones of its group
+            after = ends - np.arange(len(hot)) - 1
+            i = np.repeat(np.arange(len(hot)), after)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+            lo, hi = np.minimum(tokens[hot[i]], tokens[hot[j]]), np.maximum(tokens[hot[i]], tokens[hot[j]])
+            keys.append(mix(mix(lo * _U(0x9E3779B97F4A7C15) + mix(hi)) ^ _U(k + 1)))
+            rooms.append(np.minimum(n, n - place[hot[j]] + many))
+    return np.concatenate(keys), np.concatenate(rooms), len(rare)
+
+
+def _indexer(frequent: int):
+    """Keys of each set, and how central it is: the more its shingles are shared, as of a group of near copies the one they were made from."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "mode", "node", "n", "component", "wide", "room", "side"]
         for b in batches:
-            node, n, comp = (longs(b, k)[0] for k in ("node", "n", "component"))
-            lists = [b.column(b.schema.get_field_index(k)) for k in ("place", "token", "often")]
-            rows: list[list[np.ndarray]] = [[] for _ in names]
-            for k, (place, tok, often) in enumerate(zip(*([np.asarray(x.values) for x in col] for col in lists))):
-                size, tok = int(n[k]), tok.view(_U)
-                own = size_class(size)
-                for c in range(size_class(least_overlap(size)), size_class(100 * size // PERCENT) + 1):
-                    if c not in present:
-                        continue
-                    other = max(int(_SIZES[c]), least_overlap(size))
-                    need = -(-PERCENT * (size + other) // (100 + PERCENT))  # the least intersection with a set of that size
-                    last = size - need
-                    rare = np.flatnonzero(~often & (place <= last))
-                    hot = np.flatnonzero(often & (place <= last + 1))
-                    wide = len(hot) > WIDE
-                    i, j = np.triu_indices(0 if wide else len(hot), 1)
-                    lo, hi = np.minimum(tok[hot[i]], tok[hot[j]]), np.maximum(tok[hot[i]], tok[hot[j]])
-                    single = hot[place[hot] <= last] if singles else hot[:0]
-                    key = np.concatenate([tok[rare], mix(lo * _U(0x9E3779B97F4A7C15) + mix(hi)) | _U(1 << 63), tok[single]])
-                    if len(key):
-                        rows[0].append(mix(key ^ mix(np.array([min(own, c) << 20 | max(own, c)], _U))[0]).view(np.int64))
-                        rows[1].append(np.repeat(np.array([0, 1], np.int8), [len(rare) + len(i), len(single)]))
-                        rows[6].append(size - np.concatenate([place[rare], place[hot[j]] - 1, place[single]]))
-                        for col, v in ((2, node[k]), (3, size), (4, comp[k]), (5, wide), (7, np.int8((own > c) - (own < c)))):
-                            rows[col].append(np.full(len(key), v))
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], names)
+            rows = []
+            for node, n, tok, freq in zip(longs(b, "node")[0].tolist(), longs(b, "n")[0].tolist(), blobs(b, "tokens", _U), blobs(b, "freqs", np.uint32)):
+                keys, rooms, singles = set_keys(n, tok, freq > frequent)
+                rows.append((node, n, float(np.log2(freq).sum() / n), keys.view(np.int64), rooms.astype(np.int32), singles))
+            if rows:
+                node, n, centre, keys, rooms, singles = zip(*rows)
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(v))) for v in (keys, rooms)]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(centre), *lists, pa.array(singles, pa.int32())], ["node", "n", "centre", "keys", "rooms", "singles"])
 
     return index
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(sorted({size_class(x) for x in longs(b, "n")[0].tolist()}), pa.int32())], ["class"])
-
-
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each set with more frequent shingles in its prefix than WIDE."""
-    for b in batches:
-        many = sum(sum(np.asarray(x.values)) > WIDE for x in b.column(b.schema.get_field_index("often")))
-        yield pa.RecordBatch.from_arrays([pa.array([1] * int(many), pa.int32())], ["wide"])
-
-
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """Classes of near-duplicate documents: doc_id, n_shingles, component_id.
 
@@ -324,11 +306,17 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     unless all its documents have none. An empty table gives an empty result;
     other columns are ignored.
 
-    Equal sets count as one node. Nodes that share a prefix shingle are first
-    compared with one pivot per shingle, the most central set, in STARS rounds (linear in postings);
-    then all pairs that share an index key but no component are compared, so that
-    a group of m similar documents costs m comparisons and not m squared.
+    Equal sets count as one node. The nodes of an index key (a rare shingle, or a
+    pair of frequent ones) are compared with one of them, the most central, in
+    STARS rounds, linear in the index; then all pairs that share a key but no
+    component are compared, so that a group of m similar documents costs m
+    comparisons and not m squared. There, keys of many sets are cut into blocks.
     """
+    return classes_and_links(docs)[0]
+
+
+def classes_and_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The classes, and the links (a, b, single: whether they met under a single shingle) that each step found."""
     spark = docs.sparkSession
     parts = 2 * width(spark)
     sent = clean(docs, "doc_id", "text").mapInArrow(trimmed(_sender(parts)), _SENT)
@@ -337,71 +325,87 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     few = rows.where("prefix > 0")
     order = Window.partitionBy("s1", "s2").orderBy("doc_id")
-    nodes = stored(few.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "prefix", "tokens", "freqs"), "nodes")
-    posts = stored(nodes.select("node", "n", "prefix", "tokens", "freqs").mapInArrow(_postings, "token long, node long, n long, place long, often boolean, centre double"), "postings")
+    nodes = stored(few.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "tokens", "freqs"), "nodes")
+    index = stored(nodes.select("node", "n", "tokens", "freqs").mapInArrow(trimmed(_indexer(FREQUENT)), "node long, n long, centre double, keys array<long>, rooms array<int>, singles int"), "index")
     sets = nodes.select("node", "n", "tokens")
 
+    def posts(comps: DataFrame | None) -> DataFrame:
+        """The index by key, with the components of its nodes."""
+        own = index.withColumn("component", F.col("node")) if comps is None else index.join(comps, "node")
+        own = own.select("node", "n", "centre", "component", "singles", F.posexplode(F.arrays_zip("keys", "rooms")).alias("at", "k"))
+        return own.select(F.col("k.keys").alias("key"), F.col("k.rooms").alias("room"), "node", "n", "centre", "component", (F.col("at") < F.col("singles")).alias("single"))
+
     def similar(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
         both = left.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
-        return both.mapInArrow(_verify, "a long, b long")
+        return both.mapInArrow(trimmed(_verify), "a long, b long, single boolean")
+
+    def untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+        pairs = pairs.groupBy("a", "b").agg(F.max("single").alias("single"))
+        return stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
 
     def possible(na: str, nb: str, room: Column) -> Column:
         """Sizes are close, and no fewer shingles can be common than a similar pair has."""
         return (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT) & (room * (100 + PERCENT) >= (F.col(na) + F.col(nb)) * PERCENT)
 
-    def classes_of(links: DataFrame) -> DataFrame:
-        near = connected_components(links, "a", "b")
-        return nodes.select("node").join(near, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    def classes_of(links: list[DataFrame]) -> DataFrame:
+        every = links[0]
+        for x in links[1:]:
+            every = every.union(x)
+        near = connected_components(every, "a", "b")
+        return stored(nodes.select("node").join(near, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
 
-    links = tried = None
-    comps = nodes.select("node", F.col("node").alias("component"))
+    def still_open(now: DataFrame) -> DataFrame:
+        """Keys that join several components, with their most frequent one and how many nodes they have."""
+        by = now.groupBy("key", "component").agg(F.count("*").alias("m"))
+        return by.groupBy("key").agg(F.max(F.struct("m", "component")).alias("_most"), F.count("*").alias("_many"), F.sum("m").alias("_all")).where("_many > 1").select("key", F.col("_most.component").alias("main"), F.col("_all").alias("all"))
+
+    links: list[DataFrame] = []
+    tried = comps = None
     for k in range(STARS):
-        now = posts.withColumn("component", F.col("node")) if k == 0 else posts.join(comps, "node")
-        if k:  # tokens that still join several components; another pivot for each
-            open_tokens = now.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("token")
-            now = now.join(open_tokens, "token")
+        now = posts(comps)
+        if k:
+            now = now.join(still_open(now).select("key"), "key")
         chosen = F.col("centre") if k == 0 else F.xxhash64("component", F.lit(k)).cast("double")
-        best = now.groupBy("token").agg(F.max(F.struct(chosen.alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))).alias("p"), F.count("*").alias("m")).where("m > 1").select("token", "p.a", "p.na", "p.ca", "p.pa")
-        room = F.least(F.col("na") - F.col("pa"), F.col("n") - F.col("place"))
-        pairs = now.join(best, "token").where((F.col("component") != F.col("ca")) & possible("n", "na", room)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        best = now.groupBy("key").agg(F.max(F.struct(chosen.alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("room").alias("ra"))).alias("p"), F.count("*").alias("m")).where("m > 1").select("key", "p.a", "p.na", "p.ca", "p.ra")
+        met = now.join(best, "key").where((F.col("component") != F.col("ca")) & possible("n", "na", F.least("ra", "room")))
+        pairs = untried(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "single"), tried)
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.union(pairs)
+        links.append(stored(similar(pairs), "links"))
+        comps = classes_of(links)
+
+    now = posts(comps)
+    now = stored(now.join(still_open(now), "key").select("key", "room", "node", "n", "component", "single", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), "open")
+    if not now.isEmpty():
+        # Of a key's components, the largest needs no pairs of its own: the others meet it and each other, block by block.
+        l = now.where("component <> main").select("key", "main", "single", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("room").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        r = now.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("room").alias("rb"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+        meets = l.join(r, ["key", "block"]).where("ca <> cb AND (cb = main OR a < b)").where(possible("na", "nb", F.least("ra", "rb")))
+        pairs = untried(meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "single"), tried)
         found = stored(similar(pairs), "links")
-        links = found if links is None else links.union(found)
-        comps = stored(classes_of(links), "components")
-
-    left = posts.join(comps, "node")
-    open_tokens = left.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("token")
-    lists = left.join(open_tokens, "token").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("place", "token", "often"))).alias("x"))
-    lists = stored(lists.select("node", "n", "component", "x.place", "x.token", "x.often"), "open")
-    singles = not lists.mapInArrow(_wide, "wide int").isEmpty()
-    present = frozenset(r[0] for r in lists.select("n").mapInArrow(_classes, "class int").distinct().collect())  # a few hundred at most
-    keys = stored(lists.mapInArrow(_indexer(singles, present), "key long, mode byte, node long, n long, component long, wide boolean, room long, side byte"), "index")
-    # Of a key's components, the largest needs no pairs of its own: the others meet it and each other.
-    by = keys.groupBy("key", "mode", "component").agg(F.count("*").alias("m"), F.max("wide").alias("_wide"), F.min("side").alias("_lo"), F.max("side").alias("_hi"))
-    useful = by.groupBy("key", "mode").agg(F.max(F.struct("m", "component")).alias("_most"), F.count("*").alias("_many"), F.max("_wide").alias("_wide"), (F.min("_lo") + F.max("_hi")).alias("_sides")).where("_many > 1 AND _sides = 0 AND (mode = 0 OR _wide)")
-    keys = keys.join(useful.select("key", "mode", F.col("_most.component").alias("_main")), ["key", "mode"])
-    l, r = (keys.select("key", "mode", F.col("_main").alias(f"m{x}"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("wide").alias(f"w{x}"), F.col("room").alias(f"r{x}"), F.col("side").alias(f"s{x}")) for x in "ab")
-    meets = l.where("ca <> ma").join(r, ["key", "mode"]).where("sa + sb = 0 AND ca <> cb AND (cb = mb OR a < b) AND (mode = 0 OR wa OR wb)")
-    pairs = meets.where(possible("na", "nb", F.least("ra", "rb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    found = stored(similar(stored(pairs, "pairs")), "links")
-    if not found.isEmpty():
-        comps = classes_of(found if links is None else links.union(found))
-
-    least = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"))
+        if not found.isEmpty():
+            links.append(found)
+            comps = classes_of(links)
+    if comps is None:
+        comps = nodes.select("node", F.col("node").alias("component"))
+
+    least = stored(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "distinct")
     classes = nodes.select("node", "s1", "s2").join(comps, "node").join(least, ["s1", "s2"])
     smallest = classes.groupBy("component").agg(F.min("least_id").alias("class_id"))
     classes = classes.join(smallest, "component").select("s1", "s2", "class_id")
-    named = least.join(classes, ["s1", "s2"], "left").select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), F.coalesce("class_id", "least_id").alias("class_id"))
-    out = rows.select("doc_id", "n", "s1", "s2").join(named, (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("component_id"))
+    named = least.join(classes, ["s1", "s2"], "left").select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), F.coalesce("class_id", "least_id").alias("class_id"), "copies")
+    # The sets of many documents are few: their classes go to every task; the others are joined by set.
+    all_rows = least.agg(F.sum("copies")).first()[0] or 0
+    named = stored(named, "named")
+    hot = named.where(F.col("copies") > max(1, HOT * all_rows)).select("_1", "_2", F.col("class_id").alias("_hot"), F.lit(True).alias("_is"))
+    own = rows.select("doc_id", "n", "s1", "s2").join(F.broadcast(hot), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")), "left").drop("_1", "_2")
+    alone = F.col("_is").isNull() & (F.col("n") > 0)
+    own = own.select("doc_id", "n", "_hot", F.when(alone, F.col("s1")).otherwise(F.xxhash64("doc_id")).alias("s1"), F.when(alone, F.col("s2")).otherwise(F.lit(0)).alias("s2"), (~alone).cast("int").alias("_off"))
+    on = (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("_off") == F.col("_on"))
+    out = own.join(named.select("_1", "_2", "class_id", F.lit(0).alias("_on")), on, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_hot", "class_id", "doc_id").alias("component_id")), links
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -246,18 +246,40 @@ def test_jaccard_classes_by_brute_force(spark, odd, none):
     data = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_classes(rows)
     assert classes(data) == want
-    keep = ngram_join.STARS, ngram_join.FREQUENT, ngram_join.WIDE
-    try:  # the last step alone, with pairs of frequent shingles, and with too many of them for pairs
-        ngram_join.STARS, ngram_join.FREQUENT = 0, 3
-        assert classes(data) == want
-        ngram_join.WIDE = 2
-        assert classes(data) == want
+    keep = ngram_join.STARS, ngram_join.FREQUENT, ngram_join.BLOCK, ngram_join.HOT
+    try:  # pairs of frequent shingles, with and without the last step alone, in small blocks, with hot sets
+        ngram_join.FREQUENT, ngram_join.BLOCK, ngram_join.HOT = 3, 5, 0.02
+        for ngram_join.STARS in (0, 2):
+            assert classes(data) == want
+        ngram_join.FREQUENT = 1  # no single shingles at all
+        out, links = ngram_join.classes_and_links(data)
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out.collect()) == want
+        assert not any(r.single for x in links for r in x.collect()) and sum(x.count() for x in links) > 50
     finally:
-        ngram_join.STARS, ngram_join.FREQUENT, ngram_join.WIDE = keep
+        ngram_join.STARS, ngram_join.FREQUENT, ngram_join.BLOCK, ngram_join.HOT = keep
     assert classes(odd) == brute_classes([(r.doc_id, r.text) for r in odd.collect()])
     assert classes(none) == []
 
 
+def test_similar_sets_share_a_key():
+    rng = np.random.default_rng(5)
+    met = single = 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 200))
+        tokens = np.sort(rng.choice(1 << 40, n + 80, replace=False)).astype(np.uint64)  # in the order of all sets
+        often = np.arange(len(tokens)) >= rng.choice([0, 3, len(tokens) // 9, len(tokens)])  # the last ones
+        a = np.sort(rng.choice(len(tokens), n, replace=False))
+        b = np.sort(np.concatenate([a[rng.random(n) < 0.9], rng.choice(np.setdiff1d(np.arange(len(tokens)), a), int(rng.integers(0, 10)), replace=False)]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 75 * (len(a) + len(b) - common) and not np.array_equal(a, b):  # equal sets are one node
+            (ka, ra, sa), (kb, rb, sb) = (ngram_join.set_keys(len(x), tokens[x], often[x]) for x in (a, b))
+            both, i, j = np.intersect1d(ka, kb, return_indices=True)
+            assert (np.minimum(ra[i], rb[j]) >= common).any()
+            met, single = met + 1, single + bool((i < sa).any())
+            assert len(ka) <= 9 * (n // 4 + 4)
+    assert met > 1000 and met - single > 200
+
+
 # --- 6, 7, 9 -----------------------------------------------------------------------------------------------
 
 
