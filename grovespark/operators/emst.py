@@ -2,11 +2,15 @@
 
 Points of equal coordinates are joined by edges of length 0 first. The forest of
 all edges up to a radius is the part of the tree that is that short, so the
-radius grows from the densest cell's spacing: the first forest comes from the
+radius grows from one that crowds no cell: the first forest comes from the
 pairs of neighbouring cells, later ones from the closest pairs of components,
 found by pruning pairs of cells with bounds from their boxes. A pair inside a
 component is never looked at again. Edges are ordered by (squared length, least
 id, greatest id), so the tree is unique.
+
+A forest of edges is found as sums are: the forest of a part of the edges holds
+all of the whole's forest in that part, so tasks first cut blocks of neighbouring
+cells to their forests.
 """
 
 from __future__ import annotations
@@ -15,75 +19,89 @@ from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grovespark.operators.components import connected_components
-from grovespark.operators.neighbors import bounding_box, pairs_within, valid
-from grovespark.runtime import stored
-
-#: Up to so many distinct points, or so many live edges, one task finishes the work; both are counted first.
-LOCAL_POINTS, LOCAL_EDGES = 20_000, 500_000
-#: Points of a cell at most, where the search begins; growth of the radius.
-CELL_POINTS, GROWTH = 48, 4
-_EDGE = "src long, dst long, d2 double"
-
-
-def _prim(axes: Sequence[str]):
-    def tree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = pd.concat([f for f in frames if len(f)] or [pd.DataFrame(columns=["id", *axes])]).sort_values("id")
-        ids, xyz = p["id"].to_numpy(np.int64), p[list(axes)].to_numpy(np.float64)
-        n = len(ids)
-        best, link, live, at = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool), 0
-        rows = []
-
-        def pair(k: np.ndarray, to) -> tuple[np.ndarray, np.ndarray]:
-            return np.minimum(ids[k], ids[to]), np.maximum(ids[k], ids[to])
-
-        for _ in range(n - 1):
-            live[at], best[at] = False, np.inf
-            d = np.zeros(n)
-            for k in range(xyz.shape[1]):
-                diff = xyz[:, k] - xyz[at, k]
-                d += diff * diff
-            closer = (d < best) & live
-            even = np.flatnonzero((d == best) & live)
-            if len(even):  # equal lengths go by ids
-                (lo, hi), (blo, bhi) = pair(even, at), pair(even, link[even])
-                closer[even[(lo < blo) | (lo == blo) & (hi < bhi)]] = True
-            best[closer], link[closer] = d[closer], at
-            least = np.flatnonzero((best == best.min()) & live)
-            if len(least) > 1:
-                lo, hi = pair(least, link[least])
-                least = least[np.lexsort((hi, lo))]
-            at = int(least[0])
-            lo, hi = pair(at, link[at])
-            rows.append((lo, hi, best[at]))
-        yield pd.DataFrame(rows, columns=["src", "dst", "d2"]).astype({"src": "int64", "dst": "int64", "d2": "float64"})
-
-    return tree
-
-
-def _kruskal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Minimum spanning forest of edges (a, b between components; src, dst, d2)."""
-    e = pd.concat([f for f in frames if len(f)] or [pd.DataFrame(columns=["a", "b", "src", "dst", "d2"])]).sort_values(["d2", "src", "dst"])
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        top = v
-        while root.get(top, top) != top:
-            top = root[top]
-        while root.get(v, v) != top:
-            root[v], v = top, root[v]
-        return top
-
-    keep = np.zeros(len(e), bool)
-    for i, (a, b) in enumerate(zip(e["a"].tolist(), e["b"].tolist())):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            keep[i] = True
-    yield e[keep][["src", "dst", "d2"]].astype({"src": "int64", "dst": "int64", "d2": "float64"})
+from grovespark.operators.neighbors import pairs_within, start_radius, valid
+from grovespark.runtime import stored, width
+
+#: Edges that are cut to their forest at once; live edges up to which the last task gets them all, counted first (160 MB).
+CHUNK, LOCAL_EDGES = 500_000, 4_000_000
+#: Points around each at the first radius; growth of the radius; cells of a block.
+AROUND, GROWTH, BLOCK = 8, 4, 16
+_EDGES = ["a", "b", "src", "dst", "d2"]
+_KINDS = dict(zip(_EDGES, (np.int64, np.int64, np.int64, np.int64, np.float64)))
+
+
+def minimum_forest(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning forest of edges (a, b, src, dst, d2) between nodes a and b: places of its edges, nodes, and a node of each one's tree.
+
+    Rounds in which every tree takes its least edge to another one and trees are
+    joined by pointer jumping, over whole arrays.
+    """
+    order = np.lexsort((e["dst"], e["src"], e["d2"]))
+    nodes, ends = np.unique(np.concatenate([e["a"][order], e["b"][order]]), return_inverse=True)
+    ia, ib = ends[: len(order)], ends[len(order) :]
+    root, keep = np.arange(len(nodes)), np.zeros(len(order), bool)
+    live = np.arange(len(order))
+    while True:
+        ca, cb = root[ia[live]], root[ib[live]]
+        across = ca != cb
+        live, ca, cb = live[across], ca[across], cb[across]
+        if not len(live):
+            return order[keep], nodes, nodes[root]
+        least = np.full(len(nodes), len(order))
+        for c in (ca, cb):  # live edges ascend: written backwards, the least one stays
+            own = np.full(len(nodes), len(order))
+            own[c[::-1]] = live[::-1]
+            np.minimum(least, own, out=least)
+        trees = np.flatnonzero(least < len(order))
+        pick = least[trees]
+        keep[pick] = True
+        parent = np.arange(len(nodes))
+        parent[trees] = np.where(root[ia[pick]] == trees, root[ib[pick]], root[ia[pick]])
+        mutual = (parent[parent] == np.arange(len(nodes))) & (np.arange(len(nodes)) < parent)
+        parent[mutual] = np.flatnonzero(mutual)
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+        root = parent[root]
+
+
+def _arrays(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([np.zeros(0, t), *[b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for b in batches]]).astype(t) for k, t in _KINDS.items()}
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task cut to their forest, CHUNK at a time and then together."""
+    held: dict[str, np.ndarray] = _arrays([])
+    new: list[pa.RecordBatch] = []
+
+    def merged() -> dict[str, np.ndarray]:
+        more = _arrays(new)
+        both = {k: np.concatenate([held[k], more[k]]) for k in _EDGES}
+        keep = minimum_forest(both)[0]
+        return {k: v[keep] for k, v in both.items()}
+
+    many = 0
+    for b in batches:
+        new.append(b)
+        many += b.num_rows
+        if many >= CHUNK:
+            held, new, many = merged(), [], 0
+    held = merged()
+    yield pa.RecordBatch.from_arrays([pa.array(held[k]) for k in _EDGES], _EDGES)
+
+
+def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forest edges (src, dst, d2), and rows (src: a node, dst: its tree) without a length."""
+    e = _arrays(list(batches))
+    keep, nodes, roots = minimum_forest(e)
+    yield pa.RecordBatch.from_arrays([pa.array(e["src"][keep]), pa.array(e["dst"][keep]), pa.array(e["d2"][keep])], ["src", "dst", "d2"])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots), pa.nulls(len(nodes), pa.float64())], ["src", "dst", "d2"])
 
 
 def forest_rounds(edges: DataFrame, nodes: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -110,22 +128,38 @@ def forest_rounds(edges: DataFrame, nodes: DataFrame, rounds: int) -> tuple[Data
     return out, comp
 
 
-def _forest(edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest of edges (a, b, src, dst, d2) between components a and b."""
-    edges = stored(edges, "pairs")
-    done = None
-    while edges.count() > LOCAL_EDGES:
+def _forest(edges: DataFrame, block: Sequence[Column] = (), local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame, int]:
+    """Minimum spanning forest of edges (a, b, src, dst, d2) between components a and b.
+
+    Returns its edges (src, dst, d2), (node, component) of the nodes of the
+    edges, and the number of its edges. ``block`` names the block of an edge.
+    """
+    schema = "a long, b long, src long, dst long, d2 double"
+    if block:
+        edges = edges.repartition(width(edges.sparkSession), *block).select(*_EDGES).mapInArrow(_cut, schema)
+    edges = stored(edges.select(*_EDGES), "pairs")
+    done = chain = None
+    while edges.count() > local_edges:  # contract: every component takes its least edge
         both = edges.select("*", F.explode(F.array("a", "b")).alias("c"))
         taken = stored(both.groupBy("c").agg(F.min(F.struct("d2", "src", "dst", "a", "b")).alias("e")).select("e.a", "e.b", "e.src", "e.dst", "e.d2").distinct(), "taken")
         done = taken.select("src", "dst", "d2") if done is None else done.union(taken.select("src", "dst", "d2"))
-        comp = connected_components(taken, "a", "b")
+        comp = stored(connected_components(taken, "a", "b"), "joined")
+        chain = comp if chain is None else stored(_then(chain, comp), "joined")
         for end in "ab":
             edges = edges.join(comp.select(F.col("node").alias(end), F.col("component").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
         lo, hi = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
         edges = edges.where("a <> b").groupBy(lo, hi).agg(F.min(F.struct("d2", "src", "dst")).alias("e")).select("a", "b", "e.src", "e.dst", "e.d2")
         edges = stored(edges, "pairs")
-    last = edges.repartition(1).mapInPandas(_kruskal, _EDGE)
-    return stored(last if done is None else done.union(last), "forest")
+    last = stored(edges.repartition(1).mapInArrow(_last, "src long, dst long, d2 double"), "forest")
+    own, comp = last.where("d2 IS NOT NULL"), last.where("d2 IS NULL").select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    own, comp = (own, comp) if done is None else (done.union(own), _then(chain, comp))
+    return own, comp, own.count()
+
+
+def _then(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(node, component) after two steps of joining components, the second over those of the first."""
+    moved = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").select("node", F.coalesce("_c", "component").alias("component"))
+    return moved.union(second.join(first.select("node"), "node", "left_anti").select("node", "component"))
 
 
 def _corner(axes: Sequence[str]) -> list[Column]:
@@ -191,59 +225,31 @@ def _closest(boxes: DataFrame, points: DataFrame, axes: Sequence[str], level: in
     return best.groupBy("a", "b").agg(F.min(F.struct("d2", "src", "dst")).alias("e")).select("a", "b", "e.src", "e.dst", "e.d2")
 
 
-def emst(points: DataFrame, axes: Sequence[str] = ("x", "y"), local_points: int | None = None) -> DataFrame:
+def emst(points: DataFrame, axes: Sequence[str] = ("x", "y"), local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Edges (src < dst, length) of the minimum spanning tree of points (id, axes).
 
-    n points give n - 1 edges; none for 0 or 1 point. Rows with a null or NaN
-    coordinate are left out. A point equal to others hangs on that of the
-    smallest id with length 0.
+    n points give n - 1 edges; none for 0 or 1 point. Rows with a null, NaN or
+    infinite coordinate are left out. A point equal to others hangs on that of the
+    smallest id with length 0. Live edges beyond ``local_edges`` are contracted
+    in rounds over all tasks.
     """
-    own = valid(points.select(F.col("id").cast("long").alias("id"), *[F.col(a).cast("double").alias(a) for a in axes]), axes)
-    own = stored(own, "points")
-    first = Window.partitionBy(*axes)
-    ranked = own.withColumn("_rep", F.min("id").over(first))
-    same = ranked.where("id <> _rep").select(F.col("_rep").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d2"))
+    own = stored(valid(points.select(F.col("id").cast("long").alias("id"), *[F.col(a).cast("double").alias(a) for a in axes]), axes), "points")
     reps = stored(own.groupBy(*axes).agg(F.min("id").alias("id")).select("id", *axes), "distinct")
-    box = bounding_box(reps, axes).first()
-    n = box["n"]
-    if n <= (LOCAL_POINTS if local_points is None else local_points):
-        tree = reps.repartition(1).mapInPandas(_prim(axes), _EDGE)
-        return tree.union(same).select("src", "dst", F.sqrt("d2").alias("length"))
-
-    wide = [box[f"max_{a}"] - box[f"min_{a}"] for a in axes]
-    volume, dims = 1.0, 0
-    for w in wide:
-        if w > 0:
-            volume, dims = volume * w, dims + 1
-    side = (2 * volume / n) ** (1 / dims)
-    for _ in range(40):  # until the densest cell is small
-        full = reps.groupBy(*[F.floor(F.col(a) / side).cast("long").alias(f"c{a}") for a in axes]).count().agg(F.max("count")).first()[0]
-        if full <= CELL_POINTS:
-            break
-        side /= 2
-    across = sum(w * w for w in wide) ** 0.5
-    near = pairs_within(reps, reps, axes, side).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), "src", "dst", "d2")
-    tree = _forest(near)
-    comp = reps.select(F.col("id").alias("component"), "id", *axes)
-    new, level = tree, 0
-    while True:
-        joined = connected_components(new, "src", "dst").select(F.col("node").alias("id"), F.col("component").alias("_c"))
-        if level == 0:
-            comp = comp.join(joined, "id", "left").withColumn("component", F.coalesce("_c", "component")).drop("_c")
-        else:
-            ends = new.select("src", "dst")
-            by = comp.select("id", "component")
-            links = ends.join(by.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(by.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
-            joined = connected_components(links, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("_c"))
-            comp = comp.join(joined, "component", "left").withColumn("component", F.coalesce("_c", "component")).drop("_c")
-        comp = stored(comp, "components")
-        if comp.select("component").distinct().limit(2).count() < 2 or side * GROWTH**level > across:
-            break
+    same = own.join(reps.withColumnRenamed("id", "_rep"), list(axes)).where("id <> _rep").select(F.col("_rep").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d2"))
+    side, across, n = start_radius(reps, axes, AROUND)
+    near = pairs_within(reps, reps, axes, side).where("src < dst")
+    block = [F.floor(F.col(f"s_{a}") / (side * BLOCK)) for a in axes]
+    tree, joined, many = _forest(near.select(F.col("src").alias("a"), F.col("dst").alias("b"), "src", "dst", "d2", *[v.alias(f"_b{k}") for k, v in enumerate(block)]), [F.col(f"_b{k}") for k in range(len(axes))], local_edges)
+    comp = reps.join(joined.select(F.col("node").alias("id"), F.col("component").alias("_c")), "id", "left").select(F.coalesce("_c", "id").alias("component"), "id", *axes)
+    level, left = 0, n - many
+    while left > 1 and side * GROWTH**level <= across:
         level += 1
+        comp = stored(comp, "components")
         cells = [F.floor(F.col(a) / side).cast("long").alias(f"c{a}") for a in axes]
         boxes = stored(comp.groupBy("component", *cells).agg(*[f(a).alias(f"{m}_{a}") for a in axes for m, f in (("lo", F.min), ("hi", F.max))]), "boxes")
-        new = _forest(_closest(boxes, comp, axes, level, side))
-        tree = tree.union(new)
+        new, joined, many = _forest(_closest(boxes, comp, axes, level, side), local_edges=local_edges)
+        tree, left = tree.union(new), left - many
+        comp = comp.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").withColumn("component", F.coalesce("_c", "component")).drop("_c")
     return tree.union(same).select("src", "dst", F.sqrt("d2").alias("length"))
 
 

@@ -1,18 +1,25 @@
-"""Neighbour search as joins on grid cells: radius, nearest, k nearest, cones; points are (id, x, y[, z])."""
+"""Neighbour search as joins on grid cells: radius, nearest, k nearest, cones; points are (id, x, y[, z]).
+
+A search begins with a radius for which no cell is crowded, and doubles it for
+the queries that are not settled yet, so that dense regions are searched in
+small cells and sparse ones by few queries in large cells.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import product
-from math import sqrt
+from math import gamma, pi, sqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grovespark.functions.geometry import quad_cell, squared
 from grovespark.runtime import stored
 
-#: Queries and data points together up to which a search looks at all pairs at once.
-SMALL = 4096
+#: Points of a cell at most where a search begins; points counted for that choice, which only the cost depends on.
+CELL_POINTS, COUNTED = 128, 4_000_000
+#: Cell sizes tried in one job, each half the one before.
+HALVINGS = 8
 
 
 def bounding_box(points: DataFrame, axes: Sequence[str]) -> DataFrame:
@@ -21,10 +28,10 @@ def bounding_box(points: DataFrame, axes: Sequence[str]) -> DataFrame:
 
 
 def valid(points: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """Points without a null or NaN coordinate."""
+    """Points whose coordinates are finite numbers; a null, NaN or infinite one leaves the point out."""
     keep = F.lit(True)
     for a in axes:
-        keep = keep & F.col(a).isNotNull() & ~F.isnan(a)
+        keep = keep & (F.abs(a) < float("inf"))
     return points.where(keep)
 
 
@@ -49,22 +56,18 @@ def cell_density(points: DataFrame, axes: Sequence[str], side: float, weight: Co
     return x.groupBy(*[f"c{a}" for a in axes]).agg(F.count("*").alias("n"), F.sum("w").alias("density"), F.sum(1 / (1 + F.col("w") * F.col("w"))).alias("opposite"), F.count_if("on").alias("n_active"))
 
 
-def _cells(axes: Sequence[str], side: float) -> list[Column]:
-    return [F.floor(F.col(a) / side).cast("long") for a in axes]
-
-
 def pairs_within(queries: DataFrame, data: DataFrame, axes: Sequence[str], radius: float, extra: Sequence[str] = ()) -> DataFrame:
     """(src, dst, d2, query and data columns as s_*, t_*) of all pairs of different ids at most ``radius`` apart.
 
-    Both sides get the cell of side ``radius``; the queries are copied to the
-    cells around theirs, so that the join is on equal cells and needs one shuffle
-    of each side.
+    Cells are twice the radius wide, so a query is copied to the one or two
+    cells an axis that its ball touches, and the join is on equal cells with one
+    shuffle of each side.
     """
-    keys = [f"_c{a}" for a in axes]
-    around = F.array(*[F.struct(*[F.lit(o).alias(a) for o, a in zip(off, axes)]) for off in product((-1, 0, 1), repeat=len(axes))])
-    s = queries.select(F.col("id").alias("src"), *[F.col(a).alias(f"s_{a}") for a in (*axes, *extra)], *[v.alias(k) for v, k in zip(_cells(axes, radius), keys)], F.explode(around).alias("_o"))
-    s = s.select(*[c for c in s.columns if c not in keys and c != "_o"], *[(F.col(k) + F.col(f"_o.{a}")).alias(k) for k, a in zip(keys, axes)])
-    t = data.select(F.col("id").alias("dst"), *[F.col(a).alias(f"t_{a}") for a in (*axes, *extra)], *[v.alias(k) for v, k in zip(_cells(axes, radius), keys)])
+    keys, side = [f"_c{a}" for a in axes], 2 * radius * (1 + 1e-9)
+    s = queries.select(F.col("id").alias("src"), *[F.col(a).alias(f"s_{a}") for a in (*axes, *extra)])
+    for a, k in zip(axes, keys):
+        s = s.withColumn(k, F.explode(F.sequence(*[F.floor((F.col(f"s_{a}") + reach) / side).cast("long") for reach in (-radius, radius)])))
+    t = data.select(F.col("id").alias("dst"), *[F.col(a).alias(f"t_{a}") for a in (*axes, *extra)], *[F.floor(F.col(a) / side).cast("long").alias(k) for a, k in zip(axes, keys)])
     d2 = squared([f"s_{a}" for a in axes], [f"t_{a}" for a in axes])
     return s.join(t, keys).where(F.col("src") != F.col("dst")).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*keys)
 
@@ -75,25 +78,51 @@ def radius_graph(points: DataFrame, axes: Sequence[str], radius: float) -> DataF
     return near.select("src", "dst", F.sqrt("d2").alias("length"))
 
 
-def start_radius(data: DataFrame, axes: Sequence[str], k: int) -> tuple[float, float, int]:
-    """A radius that holds about 2 k points if they lie evenly, one that holds all, and the number of points."""
-    box = bounding_box(data, axes).first()
+def start_radius(points: DataFrame, axes: Sequence[str], around: float, most: int = CELL_POINTS) -> tuple[float, float, int]:
+    """A radius whose ball holds ``around`` points if they lie evenly, less where that crowds a cell; one that holds all; the number of points.
+
+    Cells twice the radius wide are counted for HALVINGS radii in one job, and
+    again until the fullest has about ``most`` points. Of very many points a
+    share is counted: the radius changes the cost of a search, never its result.
+    """
+    box = bounding_box(points, axes).first()
     n = box["n"]
-    ext = [box[f"max_{a}"] - box[f"min_{a}"] for a in axes] if n else [0.0]
-    across = sqrt(sum(e * e for e in ext)) or 1.0
-    wide = [e for e in ext if e > 0] or [1.0]
-    volume = 1.0
+    wide = [e for a in axes if n and (e := box[f"max_{a}"] - box[f"min_{a}"]) > 0]
+    across = sqrt(sum(e * e for e in wide))
+    if not across:
+        return 1.0, 1.0, n
+    volume, dims = 1.0, len(wide)
     for e in wide:
         volume *= e
-    return min(across, (volume * 2 * k / max(n, 1)) ** (1 / len(wide))), across, n
+    ball = pi ** (dims / 2) / gamma(dims / 2 + 1)
+    radius = min(across, (volume * around / n / ball) ** (1 / dims))
+    part = min(1.0, COUNTED / n)
+    some = points.select(*axes) if part == 1 else points.select(*axes).sample(part, 7)
+    while radius > 1e-12 * across:
+        sides = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(2 * radius / 2**k).alias("side")) for k in range(HALVINGS)])).alias("_s")
+        cells = some.select(*axes, sides).groupBy("_s.k", *[F.floor((F.col(a) - box[f"min_{a}"]) / F.col("_s.side")) for a in axes]).count()
+        full = {r.k: r.n / part for r in cells.groupBy("k").agg(F.max("count").alias("n")).collect()}  # HALVINGS rows
+        fits = [k for k in sorted(full) if full[k] <= most]
+        if fits:
+            return radius / 2 ** fits[0], across, n
+        radius /= 2**HALVINGS
+    return radius, across, n
+
+
+def first_copies(data: DataFrame, axes: Sequence[str], extra: Sequence[str], k: int) -> DataFrame:
+    """Of points that agree in all columns, the k + 1 of the smallest ids: ties go by ids, so no other is among anyone's k nearest."""
+    order = Window.partitionBy(*axes, *extra).orderBy("id")
+    return data.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n")
 
 
 def _search(queries: DataFrame, data: DataFrame, axes: Sequence[str], k: int, condition: Column | None, extra: Sequence[str], keys: dict[str, Column], per_query: int) -> DataFrame:
     """k nearest for each query and key, by radii that double until ``per_query`` keys have k, or all points are in reach."""
-    r, across, n = start_radius(data.select(*axes).union(queries.select(*axes)), axes, k)
-    if n <= SMALL:  # counted: one round over all of them is cheaper than several
-        r = across
-    left, done = queries, None
+    columns = ["id", *axes, *extra]
+    left, data = valid(queries.select(*columns), axes), stored(first_copies(valid(data.select(*columns), axes), axes, extra, k), "data")
+    r, across, _ = start_radius(data.select(*axes), axes, 4.0 * k * per_query)
+    box = bounding_box(left.select(*axes).union(data.select(*axes)), axes).first()
+    across = sqrt(sum((box[f"max_{a}"] - box[f"min_{a}"]) ** 2 for a in axes)) * (1 + 1e-9) if box["n"] else 1.0
+    r, done = min(r, across or 1.0), None
     while True:
         near = pairs_within(left, data, axes, r, extra)
         if condition is not None:
@@ -105,11 +134,12 @@ def _search(queries: DataFrame, data: DataFrame, axes: Sequence[str], k: int, co
         best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "dst", "d2", "rank")
         if r >= across:
             return best if done is None else done.union(best)
-        best = stored(best, "near")
-        full = best.groupBy("src").agg(F.count("*").alias("_n")).where(F.col("_n") >= k * per_query).select(F.col("src").alias("id"))
-        found = best.join(full.withColumnRenamed("id", "src"), "src", "left_semi")
-        done = found if done is None else done.union(found)
-        left = stored(left.join(full, "id", "left_anti"), "left")
+        found = best.groupBy("src").agg(F.collect_list(F.struct(*best.columns[1:])).alias("found"))  # at most k for each key
+        both = stored(left.join(found.withColumnRenamed("src", "id"), "id", "left"), "near")
+        settled = F.coalesce(F.size("found"), F.lit(0)) >= k * per_query
+        now = both.where(settled).select(F.col("id").alias("src"), F.inline("found"))
+        done = now if done is None else done.union(now)
+        left = both.where(~settled).drop("found")
         if left.isEmpty():
             return done
         r = min(across, 2 * r)

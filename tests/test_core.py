@@ -32,7 +32,7 @@ def prim(xy):
     return total
 
 
-@pytest.mark.parametrize("local", [None, 0])
+@pytest.mark.parametrize("local", [tree.LOCAL_EDGES, 2])
 @pytest.mark.parametrize(
     "xy",
     [
@@ -68,6 +68,40 @@ def test_cones_hold_the_tree_and_search_is_exact(spark):
         assert found[found.src == i].sort_values("rank").dst.tolist() == [w[3] for w in want]
 
 
+def test_trees_and_searches_of_clusters_copies_and_far_points(spark):
+    rng = np.random.default_rng(8)
+    xyz = np.concatenate([rng.random((150, 3)), rng.random((100, 3)) * 0.01 + 5, np.repeat(rng.random((2, 3)), 8, 0), [[90.0, 0, 0]], rng.integers(0, 3, (30, 3))]).tolist()
+    p = points(spark, xyz)
+    for local in (tree.LOCAL_EDGES, 20):
+        e = tree.emst(p, ("x", "y", "z"), local).toPandas()
+        assert len(e) == len(xyz) - 1 and e["length"].sum() == pytest.approx(prim(xyz))
+    found = nb.nearest(p, p, ("x", "y", "z"), k=3).toPandas()
+    q = p.withColumn("v", F.col("id") % 7)
+    odd = nb.nearest(q, q, ("x", "y", "z"), condition=F.col("t_v") == 0, extra=["v"]).toPandas()
+    d2 = lambda i, j: sum((a - b) ** 2 for a, b in zip(xyz[i], xyz[j]))
+    for i in range(len(xyz)):
+        want = sorted((d2(i, j), min(i, j), max(i, j), j) for j in range(len(xyz)) if j != i)
+        assert found[found.src == i].sort_values("rank").dst.tolist() == [w[3] for w in want[:3]]
+        assert odd[odd.src == i].dst.tolist() == [w[3] for w in want if w[3] % 7 == 0][:1]
+
+
+def test_forests_of_arrays():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (5, 3), (40, 200), (300, 200)):
+        e = {"a": rng.integers(0, n, m), "b": rng.integers(0, n, m), "src": np.arange(m), "dst": np.arange(m) + 1, "d2": rng.integers(0, 9, m).astype(float)}
+        keep, nodes, roots = tree.minimum_forest(e)
+        root = list(range(n))
+        find = lambda v: v if root[v] == v else find(root[v])
+        want = []
+        for k in sorted(range(m), key=lambda k: (e["d2"][k], k)):
+            a, b = find(int(e["a"][k])), find(int(e["b"][k]))
+            if a != b:
+                root[a] = b
+                want.append(k)
+        assert sorted(keep.tolist()) == sorted(want)
+        assert len({(find(int(v)), int(r)) for v, r in zip(nodes, roots)}) == len({find(int(v)) for v in nodes}) == len(set(roots.tolist()))
+
+
 def test_components_of_a_chain_a_loop_and_nulls(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 200), (None, 3)], "src long, dst long")
     got = {r.node: r.component for r in connected_components(e).collect()}
