@@ -71,10 +71,9 @@ def log_ratio(docs: DataFrame, trusted_ids: DataFrame) -> np.ndarray:
     """log of the trusted target's over the raw corpus's multinomial for each bucket.
 
     Raw counts cover every document, the target's every document whose
-    ``doc_id`` is in ``trusted_ids``. Ids are joined to the documents as their
-    number allows: the planner sends them to all tasks below its size limit, and
-    sorts both sides by id beyond it; null ids, which match nothing, are spread by
-    their text. Without a trusted document the ratio is 0 everywhere.
+    ``doc_id`` is in ``trusted_ids``. Ids and documents are sorted by id at
+    every size, for the ids grow with the labels; null ids, which match nothing,
+    are spread by their text. Without a trusted document the ratio is 0 everywhere.
     """
     size = 1 << BITS
 
@@ -88,7 +87,7 @@ def log_ratio(docs: DataFrame, trusted_ids: DataFrame) -> np.ndarray:
                 total[1] += np.bincount(g[np.repeat(trusted[s.lo : s.hi] == 1, many)], minlength=size)
         yield table_rows(total, 16)
 
-    ids = trusted_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), F.lit(0).cast("long").alias("_salt"), F.lit(1).alias("trusted")).distinct()
+    ids = trusted_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), F.lit(0).cast("long").alias("_salt"), F.lit(1).alias("trusted")).distinct().hint("merge")
     salted = clean(docs, "doc_id", "text").withColumn("salt", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
     flagged = salted.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("salt") == F.col("_salt")), "left").select("text", F.coalesce("trusted", F.lit(0)).alias("trusted"))
     got = summed(flagged.mapInArrow(trimmed(count), "block int, part binary"), np.int64, 16)
