@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from grovespark.runtime import width
+from grovespark.runtime import stored, width
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def placed(df: DataFrame, group: list[str], order: list[str], value: Column | No
     return y.join(starts, on, "left").withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_bucket", "_value", "_inside", "_b", "_start", *[f"_g{i}" for i in range(len(group))])
 
 
-_KINDS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string"}
+_KINDS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "_row": "long"}
 
 
 def _numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -94,6 +95,22 @@ def carried(df: DataFrame, *wanted: str) -> DataFrame:
     return x.select(*[_own(df, names, n) for n in wanted], F.struct(*names).alias("document"))
 
 
+def rows_of(df: DataFrame, *wanted: str) -> DataFrame:
+    """As :func:`carried`, with ``_row``: a number of the row itself, from its file and place, the same wherever the table is read.
+
+    A frame that is not a table of files is written as one first.
+    """
+    x, names = _numbered(df)
+    try:
+        at = df.metadataColumn("_metadata")
+        x = df.select("*", F.xxhash64(at["file_path"], at["row_index"]))
+    except AnalysisException:
+        x = stored(x, "rows")
+        at = x.metadataColumn("_metadata")
+        x = x.select("*", F.xxhash64(at["file_path"], at["row_index"]))
+    return x.toDF(*names, "_row").select(*[_own(df, names, n) for n in wanted], "_row", F.struct(*names).alias("document"))
+
+
 def released(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select("document.*").toDF(*like.columns)
 

@@ -140,14 +140,14 @@ def draw(totals: np.ndarray, per_shard: int, lo: int, hi: int, seed: int = SEED)
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the text; null: 0) of every document."""
+    """doc_id, source, size (words of the text; null: 0) and _row (null if there is none) of every document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = [s.words().counts for s in slices(strings(b))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(sizes or [np.zeros(0)]).astype(np.int64))], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(sizes or [np.zeros(0)]).astype(np.int64)), b.column(3)], ["doc_id", "source", "size", "_row"])
 
-    return clean(docs, "doc_id", "source", "text").mapInArrow(trimmed(count), "doc_id long, source string, size long")
+    return clean(docs, "doc_id", "source", "text", "_row").mapInArrow(trimmed(count), "doc_id long, source string, size long, _row long")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -219,31 +219,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     taken = parts.join(times, ["source_no", "block"]).groupBy("source_no", "doc_id", "first").agg(F.sum(words).alias("taken"))
     taken = taken.select(F.col("source_no").alias("_s"), F.col("first").alias("_f"), "taken").hint("merge")
     out = put.join(taken, (F.col("source_no") == F.col("_s")) & (F.col("first") == F.col("_f")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source_no", "first"), slots
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source_no", "first", "_row"), slots
 
 
 def copies(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, source and times of every document that the mix keeps, for mixes of whole documents.
+    """doc_id, source, _row (as ``docs`` has it) and times of every document that the mix keeps, for mixes of whole documents.
 
     A document comes out the whole part of taken / size times. The fractions of
     a source are summed along its documents in order of size, from a seeded
     start, and a document comes out once more where the sum passes a whole
     number. So no length is favoured, and what a source gives differs from what
     the mix takes by about a document, not by a share. Bands of sizes (a
-    twelfth wide) stand for the full order; rows that repeat id and source are
-    one document.
+    twelfth wide) stand for the full order. Rows that repeat id and source are
+    documents of their own; documents equal in all that orders them are
+    interchangeable.
     """
     one = F.lit(1 << 32)
-    rates = mix(docs, seed=seed)[0].where("size > 0").groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     part = F.expr("shiftleft(taken % size, 32) div size")
-    rates = stored(rates.select("doc_id", "source", "size", F.expr("taken div size").alias("whole"), part.alias("part"), F.floor(F.log2("size") * 8).cast("int").alias("band")), "rates")
+    rates = mix(docs, seed=seed)[0].where("size > 0").select("doc_id", "source", "_row", "size", F.expr("taken div size").alias("whole"), part.alias("part"), F.floor(F.log2("size") * 8).cast("int").alias("band"))
+    rates = stored(rates, "rates")
     before = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     starts = rates.groupBy("source", "band").agg(F.sum("part").alias("part")).select(F.col("source").alias("_source"), F.col("band").alias("_band"), F.coalesce(F.sum("part").over(before), F.lit(0)).alias("_before"))
-    put = placed(rates, ["source", "band"], ["size", "doc_id"], F.col("part"), "inside")
-    put = put.join(F.broadcast(starts), F.col("source").eqNullSafe(F.col("_source")) & (F.col("band") == F.col("_band")))
+    put = placed(rates, ["source", "band"], ["size", "doc_id", "part"], F.col("part"), "inside")
+    put = put.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("band") == F.col("_band")))
     at = F.col("_before") + F.col("inside") + F.pmod(F.xxhash64("source", F.lit(seed)), one)
     more = F.shiftright(at + F.col("part"), 32) - F.shiftright(at, 32)
-    return put.select("doc_id", "source", (F.col("whole") + more).cast("int").alias("times")).where("times > 0")
+    return put.select("doc_id", "source", "_row", (F.col("whole") + more).cast("int").alias("times")).where("times > 0")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

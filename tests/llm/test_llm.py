@@ -487,12 +487,35 @@ def test_pipeline_by_brute_force(spark, labels):
     kept = stages["ngram_jaccard_join"](spark, kept, SF)
     want = [int(i) for i, _, c in brute_classes([(i, rows[i]) for i in sorted(first.values())]) if i == c]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
-    taken = {r.doc_id: int(r.taken / r["size"] + 0.5) for r in mixing.mix(kept)[0].collect()}
+    # Copies of whole documents: the whole part of taken / size, the rest drawn so that a source's words are what the mix takes.
     mixed = stages["mixing"](spark, kept, SF)
-    assert sorted(r.doc_id for r in mixed.collect()) == sorted(i for i, n in taken.items() for _ in range(n))
+    times = collections.Counter(r.doc_id for r in mixed.collect())
+    gap, most = collections.Counter(), collections.Counter()
+    for r in mixing.mix(kept)[0].collect():
+        n = times.pop(r.doc_id, 0)
+        assert (r.taken == 0 and n == 0) if not r["size"] else r.taken // r["size"] <= n <= -(-r.taken // r["size"])
+        gap[r.source] += n * r["size"] - r.taken
+        most[r.source] = max(most[r.source], r["size"])
+    assert not times and all(abs(gap[s]) <= 2 * most[s] for s in gap)
     out = corpus_pipeline.run(spark, SF)
-    assert out.groupBy("doc_id").agg({"piece": "max"}).count() == sum(n > 0 for n in taken.values())
-    assert out.count() == packing.pack(mixed).count()
+    assert sorted((r.doc_id, r.piece, r.length) for r in out.collect()) == sorted((r.doc_id, r.piece, r.length) for r in packing.pack(mixed).collect())
+
+
+def test_stages_tell_rows_apart(spark):
+    """Rows that share an id, null ids, and a column that differs from another by case alone."""
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 10**6, n))
+    one, two = text(60), text(60)
+    rows = [(1, one), (1, two), (None, one + " tail"), (None, two + " end"), (None, text(60)), (5, text(60)), (5, "x " + one), (7, None), (7, ""), (None, None)]
+    data = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], SCHEMA).selectExpr("*", "n_chars AS N_Chars")
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["ngram_jaccard_join"](spark, data, SF)
+    assert out.columns == data.columns
+    assert sorted(r[4] for r in out.collect()) == [0, 1, 4, 5, 7, 8, 9]  # of a class the smallest id; texts without words stay
+    mixed = collections.Counter(r[4] for r in stages["mixing"](spark, data, SF).collect())
+    sizes = {k: len(W.findall(t or "")) for k, (_, t) in enumerate(rows)}
+    assert abs(sum(sizes[k] * n for k, n in mixed.items()) - 1.5 * sum(sizes.values())) <= 62 and all(n <= 2 and sizes[k] for k, n in mixed.items())
+    assert stages["best_fit_packing"](spark, data, SF).count() == len(rows)
 
 
 def test_dedup_stage_with_repeated_rows(spark, odd):
