@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grovespark.llm.exact_dedup import exact_dedup, normalised
-from grovespark.llm.frames import carried, documents, released
+from grovespark.llm.frames import carried, documents, released, rows_of
 from grovespark.llm.mixing import copies
 from grovespark.llm.ngram_join import jaccard_classes
 from grovespark.llm.packing import pack
@@ -33,16 +33,19 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the smallest doc_id."""
-    kept = jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return released(carried(docs, "doc_id").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), docs)
+    """One document of each class of near duplicates, the one with the smallest doc_id; null ids come last, and one of several rows with that id stays."""
+    rows = rows_of(docs, "doc_id", "text")
+    classes = jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    kept = classes.join(rows.select("_row", "doc_id"), "_row").groupBy("_class").agg(first).select(F.col("first._row").alias("_row"))
+    return released(rows.join(kept, "_row", "left_semi"), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words; what is left of a time is drawn evenly over lengths."""
-    taken = copies(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "times")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    return released(carried(docs, "doc_id", "source").join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))), docs)
+    rows = rows_of(docs, "doc_id", "source", "text")
+    taken = copies(rows.select("doc_id", "source", "text", "_row")).select("_row", "times")
+    return released(rows.select("_row", "document").join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
