@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from grovespark.llm import lm_model as lm
 from grovespark.llm.frames import clean, documents, fold, summed
-from grovespark.llm.textops import LOWER, Slice, blobs, longs, mix, slices, strings, table_rows, trimmed
+from grovespark.llm.textops import LOWER, Slice, blobs, longs, mix, roomy, slices, strings, table_rows, trimmed
 from grovespark.llm.tokens import coder, default_path
 from grovespark.runtime import stored, width
 
@@ -26,10 +26,12 @@ FOLDS, HELD = 7, 2
 CHUNK = 3 << 20
 #: Every window of every training text moves the weights in one of the rounds.
 ROUNDS, BATCH, RATE = 2, 64, 4e-3
-#: Windows scored at once.
-BLOCK = 96
+#: Windows scored at once; weights are summed as whole numbers of this part, so that sums don't depend on order.
+BLOCK, GRAIN = 64, 2.0**-20
 _U = np.uint64
 
+#: A chunk is a row group of its own, so that a file's chunks can be dealt to several tasks.
+ONE_ROW = {"parquet.block.row.count.limit": 1}
 _CODED = "chunk long, docs binary, hashes binary, place binary, counts binary, words binary, rare binary, sizes binary, ids binary"
 _CODED_NAMES = [x.split()[0] for x in _CODED.split(", ")]
 
@@ -69,9 +71,10 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
             for s in slices(strings(b)):
                 low = Slice(s.lo, s.hi, LOWER[s.data], s.offs)
                 w = low.words()
-                ids, sizes = own.encode(low)
+                words = w.hashes()
+                ids, sizes = own.encode(low, w)
                 k = slice(s.lo, s.hi)
-                held.append((np.stack([doc[k], none[k].astype(np.int64), out[k].astype(np.int64), w.counts]), w.hashes(), sizes, ids))
+                held.append((np.stack([doc[k], none[k].astype(np.int64), out[k].astype(np.int64), w.counts]), words, sizes, ids))
                 size += len(s.data)
                 if size >= CHUNK:
                     yield flush()
@@ -79,7 +82,7 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
         if held:
             yield flush()
 
-    return stored(clean(docs, "doc_id", "text").select("doc_id", "text", (fold(FOLDS) == HELD).alias("held_out")).mapInArrow(trimmed(code), _CODED), "coded")
+    return stored(clean(docs, "doc_id", "text").select("doc_id", "text", (fold(FOLDS) == HELD).alias("held_out")).mapInArrow(trimmed(code), _CODED), "coded", **ONE_ROW)
 
 
 _PART = "bucket int, chunk long, a binary, b binary"
@@ -185,7 +188,46 @@ def turns(windows: int, chunk: int, first: int, turn: int) -> np.ndarray:
     return order[turn::ROUNDS]
 
 
-def train(chunks: DataFrame) -> tuple[lm.Ids, dict[str, np.ndarray]]:
+def bigrams(chunks: DataFrame, known: lm.Ids) -> np.ndarray:
+    """Counts (INPUTS, COLUMNS) of the columns after each input row, over all training texts; tasks send what they saw."""
+    size, blocks = lm.INPUTS * lm.COLUMNS, 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for _, docs, sizes, ids in _texts(batches):
+            fit = docs[2] == 0
+            for _, n, own in _some(sizes[fit], ids[np.repeat(fit, sizes)]):
+                text = lm.padded(own, n)[1:]
+                opens = np.zeros(len(text), bool)
+                opens[np.cumsum(n + 2) - (n + 2)] = True
+                after = np.flatnonzero(~opens[1:]) + 1
+                at, many = np.unique(known.row[text[after - 1]].astype(np.int64) * lm.COLUMNS + known.column[text[after]], return_counts=True)
+                total[at] += many
+        at = np.flatnonzero(total)
+        cut = np.searchsorted(at, np.arange(1, blocks) * (size // blocks))
+        rows = [(k, np.concatenate([a, total[a]]).tobytes()) for k, a in enumerate(np.split(at, cut)) if len(a)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], ["block", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, part in zip(b.column(0).to_pylist(), blobs(b, "part", np.int64)):
+                at, many = part.reshape(2, -1)
+                held.setdefault(k, np.zeros(size // blocks, np.int64))[at - k * (size // blocks)] += many
+        for k, total in held.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.concatenate([at + k * (size // blocks), total[at]]).tobytes()], pa.binary())], ["block", "part"])
+
+    total = np.zeros(size, np.int64)
+    sums = chunks.mapInArrow(trimmed(count), "block int, part binary").repartitionById(blocks, F.col("block")).mapInArrow(trimmed(add), "block int, part binary")
+    for r in sums.toLocalIterator():  # a table of fixed size
+        at, many = np.frombuffer(r.part, np.int64).reshape(2, -1)
+        total[at] = many
+    return total.reshape(lm.INPUTS, lm.COLUMNS)
+
+
+def train(chunks: DataFrame) -> tuple[lm.Ids, lm.Tables, dict[str, np.ndarray]]:
     """Statistics over all training texts, then rounds of weights learned by every task and averaged."""
     own = chunks.select("chunk", "docs", "sizes", "ids")
 
@@ -199,78 +241,77 @@ def train(chunks: DataFrame) -> tuple[lm.Ids, dict[str, np.ndarray]]:
 
     got = summed(own.mapInArrow(trimmed(count), "block int, part binary"), np.int64, 16)
     known = lm.ids_of(got if len(got) else np.zeros(lm.VOCAB, np.int64))
-    shape = lm.INPUTS, lm.CLASSES
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape[0] * shape[1], np.int64)
-        for _, docs, sizes, ids in _texts(batches):
-            fit = docs[2] == 0
-            text = lm.padded(ids[np.repeat(fit, sizes)], sizes[fit])[1:]
-            first = np.zeros(len(text), bool)
-            first[np.cumsum(sizes[fit] + 2) - (sizes[fit] + 2)] = True
-            after = np.flatnonzero(~first[1:]) + 1
-            total += np.bincount(known.row[text[after - 1]].astype(np.int64) * shape[1] + known.cls[text[after]], minlength=len(total))
-        yield table_rows(total, 16)
-
-    got = summed(own.mapInArrow(trimmed(pairs), "block int, part binary"), np.int64, 16)
-    params = lm.start((got if len(got) else np.zeros(shape[0] * shape[1])).reshape(shape).astype(np.float64))
+    tables = lm.tables(known, bigrams(own, known))
+    params = lm.start()
+    row, cls, pairs = known.row, tables.cls, tables.pairs
     for turn in range(ROUNDS):
         now = params
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            roomy()
             adam = lm.Adam({k: v.copy() for k, v in now.items()}, RATE / (1 + turn))
             left, seen = [], 0  # windows short of a batch
 
             def step(windows: list[np.ndarray], last: bool = False) -> list[np.ndarray]:
-                rows, cls, valid = windows
+                rows, aims, valid = windows
                 end = len(rows) if last else len(rows) // BATCH * BATCH
                 for lo in range(0, end, BATCH):
                     k = slice(lo, min(lo + BATCH, end))
-                    adam.move(lm.gradients(adam.p, rows[k], cls[k], valid[k]))
+                    adam.move(lm.gradients(adam.p, pairs, rows[k], aims[k], valid[k]))
                 return [w[end:] for w in windows]
 
             for chunk, docs, sizes, ids in _texts(batches):
                 fit = docs[2] == 0
                 ids, sizes = ids[np.repeat(fit, sizes)], sizes[fit]
                 for part, n, own_ids in _some(sizes, ids):
-                    inputs, aims, _ = lm.windows(own_ids, n)
+                    inputs, aims, _ = lm.windows(n)
                     pick = turns(len(inputs), chunk, part.start, turn)
                     inputs, aims = inputs[pick], aims[pick]
                     text = lm.padded(own_ids, n)
-                    more = [np.where(inputs > 0, known.row[text[inputs]], np.int32(lm.PAD)), known.cls[text[aims]], aims > 0]
+                    rows = row[text]
+                    rows[0] = lm.PAD
+                    more = [rows[inputs], cls[text[aims]], aims > 0]
                     left = step([np.concatenate(w) for w in zip(left, more)] if left else more)
                     seen += len(inputs)
             if seen:
                 step(left, last=True)
-            yield table_rows(np.append(lm.flat(adam.p).astype(np.float64) * seen, float(seen)), 16)
+            weights = np.append(lm.flat(adam.p).astype(np.float64) * seen, float(seen))
+            yield table_rows(np.rint(weights / GRAIN).astype(np.int64), 16)
 
-        got = summed(own.mapInArrow(trimmed(learn), "block int, part binary"), np.float64, 16)
+        got = summed(own.mapInArrow(trimmed(learn), "block int, part binary"), np.int64, 16)
         if len(got) and got[-1] > 0:
-            params = lm.unflat(got[:-1] / got[-1], params)
-    return known, params
+            params = lm.unflat(got[:-1] / got[-1])
+    return known, tables, params
+
+
+def log_scores(known: lm.Ids, tables: lm.Tables, params: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Natural log probability of each text, its ids and one end."""
+    total = np.zeros(len(sizes))
+    for part, n, own in _some(sizes, ids):
+        text = lm.padded(own, n)
+        rows, cls = known.row[text], tables.cls[text]
+        rows[0] = lm.PAD
+        column = np.minimum(known.column[text], lm.HEAD)
+        share = tables.share[text] + tables.inner[np.roll(rows, 1), column]  # of an id in its class, after the id before it
+        inputs, aims, of = lm.windows(n)
+        each = np.zeros(len(inputs))
+        for lo in range(0, len(inputs), BLOCK):
+            k = slice(lo, lo + BLOCK)
+            aim = aims[k]
+            logs = lm.log_classes(params, tables.pairs, rows[inputs[k]], cls[aim]) + share[aim]
+            each[k] = np.where(aim > 0, logs, 0).sum(1, dtype=np.float64)
+        total[part] = np.bincount(of, each, len(n))
+    return total
 
 
 def model_scores(chunks: DataFrame) -> DataFrame:
     """chunk, place, score of each document."""
-    known, params = train(chunks)
-    shared = chunks.sparkSession.sparkContext.broadcast((known, params))  # of fixed size
+    shared = chunks.sparkSession.sparkContext.broadcast(train(chunks))  # of fixed size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, params = shared.value
+        roomy()
         for chunk, docs, sizes, ids in _texts(batches):
-            total = np.zeros(len(sizes))
-            for part, n, own in _some(sizes, ids):
-                text = lm.padded(own, n)
-                row, cls, share = np.append(known.row, lm.PAD)[text], np.append(known.cls, 0)[text], np.append(known.share, 0)[text]
-                inputs, aims, of = lm.windows(own, n)
-                each = np.zeros(len(inputs))
-                for lo in range(0, len(inputs), BLOCK):
-                    k = slice(lo, lo + BLOCK)
-                    aim = aims[k]
-                    logs = lm.log_classes(params, np.where(inputs[k] > 0, row[inputs[k]], lm.PAD), cls[aim]) + share[aim]
-                    each[k] = np.where(aim > 0, logs, 0).sum(1, dtype=np.float64)
-                total[part] = np.bincount(of, each, len(n))
-            m = len(sizes)
+            total, m = log_scores(*shared.value, ids, sizes), len(sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(np.arange(m, dtype=np.int32)), pa.array(total / np.log(10)), pa.array(sizes + 1)], ["chunk", "place", "score", "n_subwords"])
 
     return chunks.select("chunk", "docs", "sizes", "ids").mapInArrow(trimmed(score), "chunk long, place int, score double, n_subwords long")

@@ -35,6 +35,14 @@ def trimmed(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return run
 
 
+def roomy(most: int = 64 << 20) -> None:
+    """Have this worker keep freed arrays of up to ``most`` bytes for the next ones, until its task ends: new pages cost more than the sums in them."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, most)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, most)  # M_TRIM_THRESHOLD
+
+
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -13,7 +13,7 @@ import base64
 
 import numpy as np
 
-from grovespark.llm.textops import Slice, mix
+from grovespark.llm.textops import Slice, Words, mix
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Strings that are one token wherever they stand: fixed values of the vocabulary.
@@ -124,9 +124,9 @@ class Coder:
             sizes = np.diff(np.append(begin, len(ids))) - kind
             self._add(keys[own], ids[~first] if kind else ids, sizes)
 
-    def encode(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of a slice, one after another (uint16), and ids by text."""
-        w = s.words()
+    def encode(self, s: Slice, w: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, one after another (uint16), and ids by text; ``w``, its words if known, is used up."""
+        w = w or s.words()
         odd = s.per_text(_odd(s)) > 0
         n = len(w.starts)
         lone = np.zeros(len(s.data) + 1, bool)

@@ -129,32 +129,66 @@ def test_toxicity_locates_the_sentence(spark):
 # --- 2: language model ---------------------------------------------------------------------------------
 
 
-def test_attention_gradients_and_fast_scores():
+def test_attention_gradients_and_whole_probabilities():
     rng = np.random.default_rng(0)
-    known = lm.ids_of(np.bincount(rng.integers(0, 300, 4000), minlength=lm.VOCAB))
-    ids, sizes = rng.integers(0, 300, 70), np.array([0, 5, 40, 25])
-    p = {k: v.astype(np.float64) for k, v in lm.start(rng.integers(0, 5, (lm.INPUTS, lm.CLASSES)).astype(float)).items()}
+    ids, sizes = rng.integers(0, 3000, 90), np.array([0, 5, 50, 35])
+    known = lm.ids_of(np.bincount(rng.zipf(1.3, 20000) % 4000, minlength=lm.VOCAB))
+    counts = np.zeros((lm.INPUTS, lm.COLUMNS), np.int64)
+    np.add.at(counts, (known.row[ids[:-1]], known.column[ids[1:]]), 3)
+    t = lm.tables(known, counts)
+    p = {k: v.astype(np.float64) for k, v in lm.start().items()}
     p["out"] = rng.normal(0, 0.3, p["out"].shape)
-    inputs, aims, of = lm.windows(ids, sizes)
+    inputs, aims, of = lm.windows(sizes)
     text = lm.padded(ids, sizes)
-    rows, cls, valid = np.where(inputs > 0, known.row[text[inputs]], lm.PAD), known.cls[text[aims]], aims > 0
-    assert sorted(aims[aims > 0].tolist()) == sorted(set(aims[aims > 0].tolist())) and valid.sum() == 70 + 4  # each token once
-    loss = lambda: -(lm.log_classes(p, rows, cls) * valid).sum() / valid.sum()
-    grad = lm.gradients(p, rows, cls, valid)
+    rows = known.row[text]
+    rows[0] = lm.PAD
+    rows, cls, valid = rows[inputs], t.cls[text[aims]], aims > 0
+    assert sorted(aims[aims > 0].tolist()) == sorted(set(aims[aims > 0].tolist())) and valid.sum() == 90 + 4  # each token once
+    pairs = t.pairs.astype(np.float64)
+    loss = lambda: -(lm.log_classes(p, pairs, rows, cls) * valid).sum() / valid.sum()
+    grad = lm.gradients(p, pairs, rows, cls, valid)
     for k in lm.NAMES:
-        at = tuple(rng.integers(n) for n in p[k].shape) if k != "embed" else (int(rows[rows != lm.PAD][0]), 3)
-        keep = p[k][at]
-        p[k][at] = keep + 1e-3
-        up = loss()
-        p[k][at] = keep - 1e-3
-        down = loss()
-        p[k][at] = keep
-        assert grad[k][at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=2e-4), k
-    z, _ = lm.forward(p, rows)
-    z = z - np.log(np.exp(z).sum(1))[:, None]
-    want = z[np.arange(len(z)), cls.reshape(-1)].reshape(cls.shape)
-    assert np.abs((want - lm.log_classes(p, rows, cls))[valid]).max() < 1e-4
-    assert np.exp(known.share).sum() == pytest.approx(len(set(known.cls.tolist())), rel=1e-3)
+        for _ in range(3):
+            at = tuple(rng.integers(n) for n in p[k].shape) if k != "embed" else (int(rng.choice(rows[rows != lm.PAD])), int(rng.integers(lm.WIDTH)))
+            keep = p[k][at]
+            p[k][at] = keep + 1e-5
+            up = loss()
+            p[k][at] = keep - 1e-5
+            down = loss()
+            p[k][at] = keep
+            assert grad[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7), k
+    # By the definition: softmax of masked scores, and probabilities of all ids that sum to 1.
+    x = p["embed"][rows[2]] + p["place"]
+    k, v = np.split(x @ p["wkv"], 2, axis=1)
+    for j in (0, 5, lm.STRIDE - 1):
+        at = lm.LEAD + j
+        seen = [i for i in range(at + 1) if rows[2][i] != lm.PAD]
+        w = np.exp((x[at] @ p["wq"]) @ k[seen].T / math.sqrt(lm.WIDTH))
+        h = np.tanh(x[at] + (w / w.sum()) @ v[seen] @ p["wo"])
+        z = t.pairs[rows[2][at]] + h @ p["out"]
+        own = z - np.log(np.exp(z).sum())
+        assert lm.log_classes(p, pairs, rows[2:3], cls[2:3])[0, j] == pytest.approx(own[cls[2, j]])
+        every = np.exp(own[t.cls] + t.share + t.inner[rows[2][at], np.minimum(known.column, lm.HEAD)])
+        assert every.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_attention_beats_bigrams_on_held_out_documents(spark):
+    """The score of every document is what its windows say; without attention it is clearly worse."""
+    data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    chunks = lm_scoring.coded(data, tokens.default_path())
+    known, tables, params = lm_scoring.train(chunks)
+    again = lm_scoring.train(chunks)[2]
+    assert all((params[k] == again[k]).all() for k in lm.NAMES)
+    none = params | {"out": np.zeros_like(params["out"])}
+    sums, many = np.zeros(2), 0
+    for r in chunks.select("docs", "sizes", "ids").collect():
+        held = np.frombuffer(r.docs, np.int64).reshape(4, -1)[2] == 1
+        sizes = np.frombuffer(r.sizes, np.int32).astype(np.int64)
+        ids = np.frombuffer(r.ids, np.uint16).astype(np.int64)[np.repeat(held, sizes)]
+        sums += [lm_scoring.log_scores(known, tables, x, ids, sizes[held]).sum() / math.log(10) for x in (params, none)]
+        many += len(ids) + int(held.sum())
+    with_attention, bigrams = sums / many
+    assert with_attention > bigrams + 0.02, (with_attention, bigrams)
 
 
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
@@ -547,15 +581,14 @@ def test_every_window_moves_the_weights_once(spark):
     # A number is a subword or two, and all windows but those of the first batch move the rows of their inputs.
     data = spark.createDataFrame([(k, str(k), "en", "s", 0) for k in range(600)], SCHEMA).coalesce(1)
     chunks = lm_scoring.coded(data, tokens.default_path())
-    _, params = lm_scoring.train(chunks)
-    begin = lm.start(np.zeros((lm.INPUTS, lm.CLASSES)))
-    assert (params["embed"] != begin["embed"]).any(1).sum() > 300
+    _, _, params = lm_scoring.train(chunks)
+    assert (params["embed"] != lm.start()["embed"]).any(1).sum() > 300
 
 
-def test_frequent_ids_have_classes_of_their_own():
+def test_frequent_ids_have_rows_and_bigrams_of_their_own():
     known = lm.ids_of(np.arange(lm.VOCAB, 0, -1))
-    own = np.bincount(known.cls, minlength=lm.CLASSES) == 1
-    assert own[known.cls[:255]].all() and lm.WIDTH >= 32
+    assert len(set(known.row[:1900].tolist())) == 1900 and len(set(known.column[:2000].tolist())) == 2000
+    assert known.column.max() == lm.COLUMNS - 1 and known.row.max() == lm.INPUTS - 1 and known.rank[lm.END] == 0
 
 
 def test_sums_of_three_are_indexed_under_counts():
