@@ -30,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a cut of lineage that outlives executors."""
+def stored(df: DataFrame, name: str = "table", **options) -> DataFrame:
+    """Write ``df`` as Parquet (with options of the writer) to the shared folder and read it back: a cut of lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/grove-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
