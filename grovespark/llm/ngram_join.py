@@ -272,7 +272,8 @@ def set_keys(n: int, tokens: np.ndarray, often: np.ndarray) -> tuple[np.ndarray,
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
             lo, hi = np.minimum(tokens[hot[i]], tokens[hot[j]]), np.maximum(tokens[hot[i]], tokens[hot[j]])
             keys.append(mix(mix(lo * _U(0x9E3779B97F4A7C15) + mix(hi)) ^ _U(k + 1)))
-            rooms.append(np.minimum(n, n - place[hot[j]] + many))
+            # Sets that meet under a pair share no rare shingle, and at most 1 + many up to the pair's second one.
+            rooms.append(np.minimum(int(often.sum()), n - place[hot[j]] + many))
     return np.concatenate(keys), np.concatenate(rooms), len(rare)
 
 
