@@ -22,12 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from grovespark.operators.components import connected_components
+from grovespark.operators.components import CHUNK, LOCAL_EDGES, connected_components, spanning_forest
 from grovespark.operators.neighbors import pairs_within, start_radius, valid
 from grovespark.runtime import stored, width
 
-#: Edges that are cut to their forest at once; live edges up to which the last task gets them all, counted first (160 MB).
-CHUNK, LOCAL_EDGES = 500_000, 4_000_000
 #: Points around each at the first radius; growth of the radius; cells of a block.
 AROUND, GROWTH, BLOCK = 8, 4, 16
 _EDGES = ["a", "b", "src", "dst", "d2"]
@@ -35,40 +33,10 @@ _KINDS = dict(zip(_EDGES, (np.int64, np.int64, np.int64, np.int64, np.float64)))
 
 
 def minimum_forest(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimum spanning forest of edges (a, b, src, dst, d2) between nodes a and b: places of its edges, nodes, and a node of each one's tree.
-
-    Rounds in which every tree takes its least edge to another one and trees are
-    joined by pointer jumping, over whole arrays.
-    """
+    """Minimum spanning forest of edges (a, b, src, dst, d2) between nodes a and b: places of its edges, nodes, and a node of each one's tree."""
     order = np.lexsort((e["dst"], e["src"], e["d2"]))
-    nodes, ends = np.unique(np.concatenate([e["a"][order], e["b"][order]]), return_inverse=True)
-    ia, ib = ends[: len(order)], ends[len(order) :]
-    root, keep = np.arange(len(nodes)), np.zeros(len(order), bool)
-    live = np.arange(len(order))
-    while True:
-        ca, cb = root[ia[live]], root[ib[live]]
-        across = ca != cb
-        live, ca, cb = live[across], ca[across], cb[across]
-        if not len(live):
-            return order[keep], nodes, nodes[root]
-        least = np.full(len(nodes), len(order))
-        for c in (ca, cb):  # live edges ascend: written backwards, the least one stays
-            own = np.full(len(nodes), len(order))
-            own[c[::-1]] = live[::-1]
-            np.minimum(least, own, out=least)
-        trees = np.flatnonzero(least < len(order))
-        pick = least[trees]
-        keep[pick] = True
-        parent = np.arange(len(nodes))
-        parent[trees] = np.where(root[ia[pick]] == trees, root[ib[pick]], root[ia[pick]])
-        mutual = (parent[parent] == np.arange(len(nodes))) & (np.arange(len(nodes)) < parent)
-        parent[mutual] = np.flatnonzero(mutual)
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-        root = parent[root]
+    keep, nodes, roots = spanning_forest(e["a"][order], e["b"][order])
+    return order[keep], nodes, roots
 
 
 def _arrays(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
@@ -233,9 +201,9 @@ def emst(points: DataFrame, axes: Sequence[str] = ("x", "y"), local_edges: int =
     smallest id with length 0. Live edges beyond ``local_edges`` are contracted
     in rounds over all tasks.
     """
-    own = stored(valid(points.select(F.col("id").cast("long").alias("id"), *[F.col(a).cast("double").alias(a) for a in axes]), axes), "points")
-    reps = stored(own.groupBy(*axes).agg(F.min("id").alias("id")).select("id", *axes), "distinct")
-    same = own.join(reps.withColumnRenamed("id", "_rep"), list(axes)).where("id <> _rep").select(F.col("_rep").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d2"))
+    own = valid(points.select(F.col("id").cast("long").alias("id"), *[F.col(a).cast("double").alias(a) for a in axes]), axes)
+    own = stored(own.withColumn("_rep", F.min("id").over(Window.partitionBy(*axes))), "points")
+    reps, same = own.where("id = _rep").drop("_rep"), own.where("id <> _rep").select(F.col("_rep").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d2"))
     side, across, n = start_radius(reps, axes, AROUND)
     near = pairs_within(reps, reps, axes, side).where("src < dst")
     block = [F.floor(F.col(f"s_{a}") / (side * BLOCK)) for a in axes]

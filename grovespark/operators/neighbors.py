@@ -78,19 +78,27 @@ def radius_graph(points: DataFrame, axes: Sequence[str], radius: float) -> DataF
     return near.select("src", "dst", F.sqrt("d2").alias("length"))
 
 
-def start_radius(points: DataFrame, axes: Sequence[str], around: float, most: int = CELL_POINTS) -> tuple[float, float, int]:
+def start_radius(points: DataFrame, axes: Sequence[str], around: float, most: int = CELL_POINTS, also: DataFrame | None = None) -> tuple[float, float, int]:
     """A radius whose ball holds ``around`` points if they lie evenly, less where that crowds a cell; one that holds all; the number of points.
 
+    With ``also``, the second radius reaches all points from any of those, too.
+
     Cells twice the radius wide are counted for HALVINGS radii in one job, and
     again until the fullest has about ``most`` points. Of very many points a
     share is counted: the radius changes the cost of a search, never its result.
     """
-    box = bounding_box(points, axes).first()
+    boxes = bounding_box(points, axes).withColumn("k", F.lit(0))
+    if also is not None:
+        boxes = boxes.union(bounding_box(also, axes).withColumn("k", F.lit(1)))
+    boxes = sorted((r for r in boxes.collect() if r["n"]), key=lambda r: r["k"])  # two rows at most
+    if not boxes or boxes[0]["k"]:
+        return 1.0, 1.0, 0
+    box = boxes[0]
     n = box["n"]
-    wide = [e for a in axes if n and (e := box[f"max_{a}"] - box[f"min_{a}"]) > 0]
-    across = sqrt(sum(e * e for e in wide))
-    if not across:
-        return 1.0, 1.0, n
+    across = sqrt(sum((max(b[f"max_{a}"] for b in boxes) - min(b[f"min_{a}"] for b in boxes)) ** 2 for a in axes)) * (1 + 1e-9)
+    wide = [e for a in axes if (e := box[f"max_{a}"] - box[f"min_{a}"]) > 0]
+    if not wide:
+        return across or 1.0, across or 1.0, n
     volume, dims = 1.0, len(wide)
     for e in wide:
         volume *= e
@@ -119,10 +127,8 @@ def _search(queries: DataFrame, data: DataFrame, axes: Sequence[str], k: int, co
     """k nearest for each query and key, by radii that double until ``per_query`` keys have k, or all points are in reach."""
     columns = ["id", *axes, *extra]
     left, data = valid(queries.select(*columns), axes), stored(first_copies(valid(data.select(*columns), axes), axes, extra, k), "data")
-    r, across, _ = start_radius(data.select(*axes), axes, 4.0 * k * per_query)
-    box = bounding_box(left.select(*axes).union(data.select(*axes)), axes).first()
-    across = sqrt(sum((box[f"max_{a}"] - box[f"min_{a}"]) ** 2 for a in axes)) * (1 + 1e-9) if box["n"] else 1.0
-    r, done = min(r, across or 1.0), None
+    r, across, n = start_radius(data, axes, 8.0 * k * per_query, also=left)
+    done = None
     while True:
         near = pairs_within(left, data, axes, r, extra)
         if condition is not None:
@@ -140,9 +146,9 @@ def _search(queries: DataFrame, data: DataFrame, axes: Sequence[str], k: int, co
         now = both.where(settled).select(F.col("id").alias("src"), F.inline("found"))
         done = now if done is None else done.union(now)
         left = both.where(~settled).drop("found")
-        if left.isEmpty():
+        if not (many := left.count()):
             return done
-        r = min(across, 2 * r)
+        r = min(across, r * (2 if 32 * many > n else 4))  # few queries may look far
 
 
 def nearest(queries: DataFrame, data: DataFrame, axes: Sequence[str], k: int = 1, condition: Column | None = None, extra: Sequence[str] = ()) -> DataFrame:

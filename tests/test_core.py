@@ -70,7 +70,7 @@ def test_cones_hold_the_tree_and_search_is_exact(spark):
 
 def test_trees_and_searches_of_clusters_copies_and_far_points(spark):
     rng = np.random.default_rng(8)
-    xyz = np.concatenate([rng.random((150, 3)), rng.random((100, 3)) * 0.01 + 5, np.repeat(rng.random((2, 3)), 8, 0), [[90.0, 0, 0]], rng.integers(0, 3, (30, 3))]).tolist()
+    xyz = np.concatenate([rng.random((90, 3)), rng.random((60, 3)) * 0.01 + 1.5, np.repeat(rng.random((2, 3)), 8, 0), [[4.0, 0, 0]], rng.integers(0, 3, (20, 3))]).tolist()
     p = points(spark, xyz)
     for local in (tree.LOCAL_EDGES, 20):
         e = tree.emst(p, ("x", "y", "z"), local).toPandas()
@@ -104,8 +104,9 @@ def test_forests_of_arrays():
 
 def test_components_of_a_chain_a_loop_and_nulls(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 200), (None, 3)], "src long, dst long")
-    got = {r.node: r.component for r in connected_components(e).collect()}
-    assert all(got[i] == 0 for i in range(41)) and got[102] == 100 and got[200] == 200
+    for local in (10**6, 0):
+        got = {r.node: r.component for r in connected_components(e, local_edges=local).collect()}
+        assert len(got) == 45 and all(got[i] == 0 for i in range(41)) and got[102] == 100 and got[200] == 200
 
 
 def test_single_linkage_and_rounds(spark):
