@@ -15,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 
 VOCAB, END = 50_257, 50_256
-SPAN, STRIDE, WIDTH = 32, 24, 16
+SPAN, STRIDE, WIDTH = 24, 18, 16
 LEAD = SPAN - STRIDE
 #: Input rows (the last SHARED are for all rarer ids), ids with bigrams of their own, classes of these, classes of the rest.
-INPUTS, SHARED, HEAD, CLUSTERS, TAILS = 2048, 64, 2048, 64, 16
+INPUTS, SHARED, HEAD, CLUSTERS, TAILS = 2048, 64, 2048, 56, 8
 CLASSES = CLUSTERS + TAILS
 PAD = INPUTS
 #: Columns of the bigram counts: frequent ids, and the bands of the others.

@@ -23,7 +23,7 @@ from grovespark.llm.tokens import coder, default_path
 from grovespark.runtime import stored, width
 
 FOLDS, HELD = 7, 2
-CHUNK = 3 << 20
+CHUNK = 6 << 20
 #: Every window of every training text moves the weights in one of the rounds.
 ROUNDS, BATCH, RATE = 2, 64, 4e-3
 #: Windows scored at once; weights are summed as whole numbers of this part, so that sums don't depend on order.
@@ -31,7 +31,7 @@ BLOCK, GRAIN = 64, 2.0**-20
 _U = np.uint64
 
 #: A chunk is a row group of its own, so that a file's chunks can be dealt to several tasks.
-ONE_ROW = {"parquet.block.row.count.limit": 1}
+ONE_ROW = {"parquet.block.row.count.limit": 1, "compression": "zstd"}
 _CODED = "chunk long, docs binary, hashes binary, place binary, counts binary, words binary, rare binary, sizes binary, ids binary"
 _CODED_NAMES = [x.split()[0] for x in _CODED.split(", ")]
 
@@ -188,6 +188,21 @@ def turns(windows: int, chunk: int, first: int, turn: int) -> np.ndarray:
     return order[turn::ROUNDS]
 
 
+def _sparse(at: np.ndarray, many: np.ndarray) -> bytes:
+    """Places and counts, four bytes each; counts beyond that as several entries."""
+    part = np.concatenate([at, np.repeat(at, many >> 31)]).astype(np.uint32)
+    rest = np.concatenate([many & 0x7FFFFFFF, np.full(len(part) - len(at), 1 << 31)]).astype(np.uint32)
+    return np.concatenate([part, rest]).tobytes()
+
+
+def _dense(blob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, many = np.frombuffer(blob, np.uint32).reshape(2, -1).astype(np.int64)
+    own, back = np.unique(at, return_inverse=True)
+    total = np.zeros(len(own), np.int64)
+    np.add.at(total, back, many)
+    return own, total
+
+
 def bigrams(chunks: DataFrame, known: lm.Ids) -> np.ndarray:
     """Counts (INPUTS, COLUMNS) of the columns after each input row, over all training texts; tasks send what they saw."""
     size, blocks = lm.INPUTS * lm.COLUMNS, 16
@@ -205,24 +220,24 @@ def bigrams(chunks: DataFrame, known: lm.Ids) -> np.ndarray:
                 total[at] += many
         at = np.flatnonzero(total)
         cut = np.searchsorted(at, np.arange(1, blocks) * (size // blocks))
-        rows = [(k, np.concatenate([a, total[a]]).tobytes()) for k, a in enumerate(np.split(at, cut)) if len(a)]
+        rows = [(k, _sparse(a, total[a])) for k, a in enumerate(np.split(at, cut)) if len(a)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], ["block", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, part in zip(b.column(0).to_pylist(), blobs(b, "part", np.int64)):
-                at, many = part.reshape(2, -1)
+            for k, part in zip(b.column(0).to_pylist(), blobs(b, "part", np.uint8)):
+                at, many = _dense(part)
                 held.setdefault(k, np.zeros(size // blocks, np.int64))[at - k * (size // blocks)] += many
         for k, total in held.items():
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.concatenate([at + k * (size // blocks), total[at]]).tobytes()], pa.binary())], ["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_sparse(at + k * (size // blocks), total[at])], pa.binary())], ["block", "part"])
 
     total = np.zeros(size, np.int64)
     sums = chunks.mapInArrow(trimmed(count), "block int, part binary").repartitionById(blocks, F.col("block")).mapInArrow(trimmed(add), "block int, part binary")
     for r in sums.toLocalIterator():  # a table of fixed size
-        at, many = np.frombuffer(r.part, np.int64).reshape(2, -1)
+        at, many = _dense(np.frombuffer(r.part, np.uint8))
         total[at] = many
     return total.reshape(lm.INPUTS, lm.COLUMNS)
 

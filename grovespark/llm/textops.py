@@ -35,7 +35,7 @@ def trimmed(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return run
 
 
-def roomy(most: int = 64 << 20) -> None:
+def roomy(most: int = 4 << 20) -> None:
     """Have this worker keep freed arrays of up to ``most`` bytes for the next ones, until its task ends: new pages cost more than the sums in them."""
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):

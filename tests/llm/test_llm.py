@@ -585,6 +585,12 @@ def test_every_window_moves_the_weights_once(spark):
     assert (params["embed"] != lm.start()["embed"]).any(1).sum() > 300
 
 
+def test_sparse_counts_round_trip():
+    at, many = np.array([3, 900, 2**31]), np.array([5, 7 * 2**31 + 2, 2**33])
+    got = lm_scoring._dense(np.frombuffer(lm_scoring._sparse(at, many), np.uint8))
+    assert got[0].tolist() == at.tolist() and got[1].tolist() == many.tolist()
+
+
 def test_frequent_ids_have_rows_and_bigrams_of_their_own():
     known = lm.ids_of(np.arange(lm.VOCAB, 0, -1))
     assert len(set(known.row[:1900].tolist())) == 1900 and len(set(known.column[:2000].tolist())) == 2000
