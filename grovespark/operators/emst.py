@@ -162,23 +162,23 @@ def _closest(boxes: DataFrame, points: DataFrame, axes: Sequence[str], level: in
 
     def pruned(pairs: DataFrame) -> DataFrame:
         x = pairs.withColumn("near", _gap(axes, False)).withColumn("far", _gap(axes, True)).where(F.col("near") <= radius * radius * (1 + 1e-9))
-        reach = x.groupBy(F.col("l_component").alias("_a"), F.col("r_component").alias("_b")).agg(F.min("far").alias("_far"))
-        return x.join(reach, (F.col("l_component") == F.col("_a")) & (F.col("r_component") == F.col("_b"))).where(F.col("near") <= F.col("_far") * (1 + 1e-9)).drop("_a", "_b", "_far", "near", "far")
+        x = x.withColumn("_far", F.min("far").over(Window.partitionBy("l_component", "r_component")))
+        return x.where(F.col("near") <= F.col("_far") * (1 + 1e-9)).drop("_far", "near", "far")
 
     around = F.array(*[F.struct(*[F.lit(o).alias(c) for o, c in zip(off, cells)]) for off in product((-1, 0, 1), repeat=len(axes))])
-    now = stored(at(level), "boxes")
-    left = named(now, "l").withColumn("_o", F.explode(around))
+    left = named(at(level), "l").withColumn("_o", F.explode(around))
     on = [(F.col(f"l_{c}") + F.col(f"_o.{c}")) == F.col(f"r_{c}") for c in cells]
-    pairs = left.join(named(now, "r"), on).where("l_component < r_component").drop("_o")
-    pairs = stored(pruned(pairs), "boxes")
+    pairs = pruned(left.join(named(at(level), "r"), on).where("l_component < r_component").drop("_o"))
     for k in range(level - 1, -1, -1):
-        own = stored(at(k), "boxes") if k else boxes.select("component", *cells, *box)
+        own = at(k) if k else boxes.select("component", *cells, *box)
         for s in "lr":
             child = named(own, "n").withColumns({f"_p{c}": F.floor(F.col(f"n_{c}") / GROWTH).cast("long") for c in cells})
             same = [F.col(f"{s}_component") == F.col("n_component"), *[F.col(f"{s}_{c}") == F.col(f"_p{c}") for c in cells]]
             kept = [c for c in pairs.columns if not c.startswith(f"{s}_")]
             pairs = pairs.join(child, same).select(*kept, *[F.col(f"n_{c}").alias(f"{s}_{c}") for c in ["component", *cells, *box]])
-        pairs = stored(pruned(pairs), "boxes")
+        pairs = pruned(pairs)
+        if k % 2 == 0:
+            pairs = stored(pairs, "boxes")
     ends = points.select("id", "component", *axes, *[F.floor(F.col(a) / side).cast("long").alias(f"c{a}") for a in axes])
     for s in "lr":
         p = named(ends, f"{s}p")
