@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import sqrt
+from math import pi, sqrt
 
 from pyspark.sql import Column, functions as F
 
@@ -294,3 +294,79 @@ def repaired(ring) -> Column:
     n = F.size(distinct)
     with_index = F.transform(distinct, lambda p, i: F.struct(p.alias("p"), F.element_at(distinct, F.when(i == 0, n).otherwise(i)).alias("o"), F.element_at(distinct, F.when(i == n - 1, 1).otherwise((i + 2).cast("int"))).alias("q")))
     return F.transform(F.filter(with_index, lambda t: turn(t["o"]["x"], t["o"]["y"], t["q"]["x"], t["q"]["y"], t["p"]["x"], t["p"]["y"]) != 0), lambda t: t["p"])
+
+
+# --- Views of a lattice, variates, polylines -----------------------------------------------------------
+
+
+def dual_to_low(p, radius, centre, low_centre) -> Column:
+    """Coordinate of a cell in the image two levels below it."""
+    return base_to_low(dual_to_base(p, centre), radius, centre, low_centre)
+
+
+def to_euclid(p) -> Column:
+    return c(p).cast("double")
+
+
+def linear_uniform(key, seed: int) -> Column:
+    """A number in (0, 1) from a whole number: one step of a multiplicative generator modulo a prime, the same in any engine."""
+    prime = 2147483647
+    return (F.pmod(F.pmod(c(key).cast("long") + seed, F.lit(prime)) * 48271 + 11, F.lit(prime)) + 0.5) / float(prime)
+
+
+def uniform_between(u, a, b) -> Column:
+    return c(a) + c(u) * (c(b) - c(a))
+
+
+def uniform_index(u, n) -> Column:
+    """A whole number 0..n-1."""
+    return F.floor(c(u) * c(n)).cast("long")
+
+
+def occurs(u, p) -> Column:
+    return c(u) < c(p)
+
+
+def exponential(u) -> Column:
+    return -F.log(c(u))
+
+
+def normal(u, v) -> Column:
+    """A standard normal variate from two uniform ones."""
+    return F.sqrt(-2 * F.log(c(u))) * F.cos(2 * pi * c(v))
+
+
+def choose(u, weights: Sequence[float]) -> Column:
+    """Number of the option that a uniform number falls on, options as wide as their weights; roulette over operators."""
+    total, run, out = sum(weights), 0.0, F.lit(len(weights) - 1)
+    for k in range(len(weights) - 2, -1, -1):
+        run = sum(weights[: k + 1]) / total
+        out = F.when(c(u) < run, F.lit(k)).otherwise(out)
+    return out.cast("long")
+
+
+def polyline_crossings(a, b) -> Column:
+    """Points where a segment of one polyline crosses one of the other, in order of both."""
+    pairs = lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda k: F.struct(F.get(p, k).alias("p"), F.get(p, k + 1).alias("q")))
+    xy = lambda s: (s["x"], s["y"])
+
+    def meet(s, t):
+        ends = (xy(s["p"]), xy(s["q"]), xy(t["p"]), xy(t["q"]))
+        return F.when(segments_cross(*ends), line_intersection(*ends))
+
+    a, b = c(a), c(b)
+    every = F.flatten(F.transform(pairs(a), lambda s: F.transform(pairs(b), lambda t: meet(s, t))))
+    return F.when((F.size(a) > 1) & (F.size(b) > 1), F.filter(every, lambda p: p.isNotNull())).otherwise(F.filter(a, lambda p: F.lit(False)))
+
+
+def increasing(polyline, step: float = 100.0) -> Column:
+    """A polyline whose x grows: each point is the first later one beyond the point before, or else a ``step`` beyond at the height of the last."""
+    p = c(polyline)
+
+    def next_point(done, k):
+        last = F.element_at(done, -1)
+        beyond = F.filter(F.slice(p, k + 1, F.size(p)), lambda q: q["x"] > last["x"])
+        other = F.struct((last["x"] + step).alias("x"), F.element_at(p, -1)["y"].alias("y"))
+        return F.concat(done, F.array(F.when(F.size(beyond) > 0, F.get(beyond, 0)).otherwise(other)))
+
+    return F.when(F.size(p) > 1, F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), F.slice(p, 1, 1), next_point)).otherwise(p)

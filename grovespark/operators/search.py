@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grovespark.runtime import stored
 
@@ -50,8 +50,80 @@ def local_search(field: DataFrame, propose: Callable[[DataFrame, int], DataFrame
     return field
 
 
+def line_candidates(field: DataFrame, direction: tuple[int, int], reach: int, scale: float = 1.0) -> DataFrame:
+    """Each node (i, j, x, y) with its place and those 1..reach steps along one direction (step, x, y)."""
+    steps = F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("step")
+    at = lambda v, d: (F.col(v) + F.col("step") * (d / scale)).alias(v)
+    return field.select("i", "j", "x", "y", steps).select("i", "j", "step", at("x", direction[0]), at("y", direction[1]))
+
+
+def random_line_candidates(field: DataFrame, reach: int, u: Column, scale: float = 1.0) -> DataFrame:
+    """The same along one of the 8 directions for each node, by a uniform number ``u`` of its row."""
+    compass = F.array(*[F.struct(F.lit(float(a)).alias("di"), F.lit(float(b)).alias("dj")) for a, b in ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))])
+    x = field.withColumn("_d", F.get(compass, F.floor(u * 8).cast("int"))).select("i", "j", "x", "y", "_d", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("step"))
+    return x.select("i", "j", "step", *[(F.col(v) + F.col("step") * F.col(f"_d.{k}") / scale).alias(v) for v, k in (("x", "di"), ("y", "dj"))])
+
+
+def windows_of(centres: DataFrame, radius: int) -> DataFrame:
+    """Members (group, i, j) of the square windows around centres (group, i, j); a node of several is in the one of the smallest group."""
+    span = F.sequence(F.lit(-radius), F.lit(radius))
+    x = centres.select("group", "i", "j", F.explode(span).alias("di")).select("*", F.explode(span).alias("dj"))
+    return x.groupBy((F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j")).agg(F.min("group").alias("group")).select("group", "i", "j")
+
+
+def random_pick(field: DataFrame, cell: Column, share: float, u: Column) -> DataFrame:
+    """A random subset of the nodes of each cell as members (group, i, j) of a joint move."""
+    return field.where(u < share).select(cell.alias("group"), "i", "j")
+
+
+def joint_moves(field: DataFrame, members: DataFrame, deltas: DataFrame, cost: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Nodes (i, j, v) of a group (group, i, j) move together by the group's delta (group, delta); the group goes back unless its cost falls.
+
+    ``cost`` adds a column cost to (i, j, v) rows. Groups don't share nodes.
+    """
+    own = field.join(members, ["i", "j"]).join(deltas, "group")
+    before = cost(own.select("i", "j", "v")).select("i", "j", F.col("cost").alias("before"))
+    after = cost(own.select("i", "j", (F.col("v") + F.col("delta")).alias("v"))).select("i", "j", F.col("cost").alias("after"))
+    both = own.select("group", "i", "j", "delta").join(before, ["i", "j"]).join(after, ["i", "j"])
+    better = both.groupBy("group").agg(F.sum("before").alias("b"), F.sum("after").alias("a")).where("a < b").select("group")
+    moved = both.join(better, "group").select("i", "j", "delta")
+    return field.join(moved, ["i", "j"], "left").select("i", "j", (F.col("v") + F.coalesce("delta", F.lit(0.0))).alias("v"))
+
+
+def expansion(field: DataFrame, value: float, cost: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every node takes the value if that is cheaper for it."""
+    return winner_takes_all(cost(field.select("i", "j", "v").union(field.select("i", "j", F.lit(value).alias("v")))), ["i", "j"]).select("i", "j", "v")
+
+
+def swap(field: DataFrame, a: float, b: float, cost: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Nodes with one of two values take the other if that is cheaper for them."""
+    two = field.where(F.col("v").isin(a, b))
+    best = winner_takes_all(cost(two.select("i", "j", "v").union(two.select("i", "j", (F.lit(a + b) - F.col("v")).alias("v")))), ["i", "j"])
+    return best.select("i", "j", "v").union(field.where(~F.col("v").isin(a, b)).select("i", "j", "v"))
+
+
+def variable_descent(field: DataFrame, proposals: Sequence[Callable[[DataFrame, int], DataFrame]], cost: Callable[[DataFrame], DataFrame], most: int = 20) -> DataFrame:
+    """Variable-neighbourhood descent: a round of proposals of the first kind; the next kind when a round does not lower the total, the first again when it does.
+
+    ``cost`` is any sum of terms (length, smoothness, window or both). Ends when
+    no kind helps, after ``most`` rounds at the latest.
+    """
+    total = lambda f: cost(f.select("i", "j", "v")).agg(F.sum("cost")).first()[0] or 0.0
+    kind, now = 0, total(field)
+    for k in range(most):
+        if kind == len(proposals):
+            break
+        next_field = local_search(field, lambda f, turn: proposals[kind](f, k), cost, 2)  # both colours
+        after = total(next_field)
+        if after < now:
+            field, now, kind = next_field, after, 0
+        else:
+            kind += 1
+    return field
+
+
 def descent(per_cell: Callable[[pd.DataFrame], pd.DataFrame], nodes: DataFrame, cell: Sequence[str], schema: str) -> DataFrame:
-    """Variable-neighbourhood descent or whole-cell moves inside each cell, which is bounded by its side."""
+    """Moves of a whole cell by a function of its rows; a cell is bounded by its side."""
     return nodes.groupBy(*cell).applyInPandas(per_cell, schema)
 
 
@@ -78,6 +150,30 @@ def select_elite(population: DataFrame, best: DataFrame, k: int) -> DataFrame:
     return ranked.select("agent", F.when(F.col("down") <= k, F.col("_a")).otherwise(F.col("agent")).alias("source"), F.when(F.col("down") <= k, F.col("_c")).otherwise(F.col("cost")).alias("cost"))
 
 
+def crossed(a, b, u: Column) -> Column:
+    """A child of two states (arrays of numbers): the first one's genes up to a cut by the uniform number ``u``, then the other's."""
+    cut = F.floor(u * (F.size(a) + 1)).cast("int")
+    return F.transform(a, lambda x, k: F.when(k < cut, x).otherwise(F.get(b, k)))
+
+
+def mutated(state, u: Column, reach: float) -> Column:
+    """A state with one gene, chosen by the uniform number ``u``, moved by up to ``reach`` either way."""
+    at = u * F.size(state)
+    return F.transform(state, lambda x, k: F.when(k == F.floor(at), x + ((at - F.floor(at)) * 2 - 1) * reach).otherwise(x))
+
+
+def generation(population: DataFrame, k: int, reach: float, u: Column, v: Column) -> DataFrame:
+    """One genetic generation of (agent, cost, state): the k best overwrite the k worst, and the children that took their place are crossed with their agent's own state and mutated.
+
+    ``u`` and ``v`` are uniform numbers of an agent's row. Returns (agent, source, state).
+    """
+    chosen = select(population.select("agent", "cost"), k).select("agent", "source")
+    other = population.select(F.col("agent").alias("source"), F.col("state").alias("_state"))
+    both = population.join(chosen, "agent").join(other, "source")
+    child = F.when(F.col("source") == F.col("agent"), F.col("state")).otherwise(mutated(crossed(F.col("_state"), F.col("state"), u), v, reach))
+    return both.select("agent", "source", child.alias("state"))
+
+
 def multi_start(spark, starts: int, construct: Callable[[np.random.Generator], np.ndarray], improve: Callable[[np.ndarray, np.random.Generator], np.ndarray], cost: Callable[[np.ndarray], float], seed: int, rounds: int = 1, restart: int = 5) -> DataFrame:
     """(agent, cost, state): for each start a constructed state, improved in rounds and taken up from its best every ``restart``; the same for a seed."""
 

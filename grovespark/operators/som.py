@@ -111,9 +111,10 @@ def roulette(items: DataFrame, group: str, weight: Column, u: Column) -> DataFra
     return x.where(F.col("_run") >= F.col("_u") * F.col("_total")).groupBy(group).agg(F.min("id").alias("id"))
 
 
-def weighted_sample(items: DataFrame, group: str, weight: Column, k: int, seed: int) -> DataFrame:
-    """k items per group without replacement, by weight: the greatest keys log(u) / w with u from a hash of id and seed."""
-    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
+def weighted_sample(items: DataFrame, group: str, weight: Column, k: int, seed: int, u: Column | None = None) -> DataFrame:
+    """k items per group without replacement, by weight: the greatest keys log(u) / w, with ``u`` or else a uniform number from a hash of id and seed."""
+    if u is None:
+        u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
     rank = Window.partitionBy(group).orderBy(F.desc("_key"), "id")
     return items.withColumn("_key", F.log(u) / weight).withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= k).drop("_key", "_k")
 
@@ -127,3 +128,67 @@ def density_cost(members: DataFrame) -> DataFrame:
     """Sum over clusters of the distance of their size to the mean size (id, centre)."""
     sizes = members.groupBy("centre").agg(F.count("*").alias("n"))
     return sizes.agg(F.avg("n").alias("m"), F.collect_list("n").alias("ns")).select(F.aggregate("ns", F.lit(0.0), lambda a, n: a + F.abs(n - F.col("m"))).alias("cost"))
+
+
+#: Steps to the 8 neighbours, in the order in which a seed tries them.
+STEPS = ((-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1))
+
+
+def perturbed_seeds(seeds: DataFrame, gradient: DataFrame) -> DataFrame:
+    """Seeds (id, i, j) that step to each of the 8 neighbours in turn if the gradient (i, j, v) is lower there than where they are by then."""
+    at = gradient.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("v").alias("_v"))
+    now = seeds.join(gradient.select("i", "j", "v"), ["i", "j"]).select("id", "i", "j", "v")
+    for di, dj in STEPS:
+        near = now.join(at, (F.col("i") + di == F.col("_i")) & (F.col("j") + dj == F.col("_j")), "left")
+        go = F.coalesce(F.col("_v") < F.col("v"), F.lit(False))
+        now = near.select("id", *[F.when(go, F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in ("i", "j", "v")])
+    return now
+
+
+def fixed_borders(cells: DataFrame, size: tuple[int, int], radius: int, centre: tuple[int, int], topology: str = "quad") -> DataFrame:
+    """Positions of a base lattice on the rings ``radius - 1`` and ``radius`` around the centres of cells (i, j) two steps apart."""
+    rings = [(i, j, r) for r, i, j in ring_offsets(topology, radius) if r >= radius - 1]
+    x = cells.select(*[(F.col(k) * 2 + c % 2).alias(k) for k, c in zip("ij", centre)], F.explode(_offsets(rings)).alias("o"))
+    x = x.select((F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"))
+    return x.where(F.col("i").between(0, size[0] - 1) & F.col("j").between(0, size[1] - 1)).distinct()
+
+
+def shared_out(nodes: DataFrame, total: int, cells: int) -> DataFrame:
+    """Nodes (id from 0) dealt to cells in even slices."""
+    slab = -(-total // cells)
+    return nodes.withColumn("cell", F.floor(F.col("id") / slab)).withColumn("place", F.col("id") % slab)
+
+
+def hops(links: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """(source, node, hop): nodes at most ``most`` links (src, dst, either way) away from each source (node), by the fewest links."""
+    both = links.select("src", "dst").union(links.select("dst", "src")).distinct()
+    seen = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hop"))
+    edge = seen
+    for k in range(1, most + 1):
+        step = edge.join(both, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
+        edge = stored(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hop", F.lit(k)), "hops")
+        seen = seen.union(edge)
+    return seen
+
+
+def graph_trigger(net: DataFrame, links: DataFrame, attractors: DataFrame, alpha: float, radius: float, most: int) -> DataFrame:
+    """One step of a net (id, x, y): each attractor (node, px, py) pulls the nodes up to ``most`` links away by alpha * exp(-hop^2 / radius^2); pulls add up."""
+    near = hops(links, attractors.select("node").distinct(), most)
+    pull = attractors.withColumnRenamed("node", "source").join(near, "source").select(F.col("node").alias("id"), "px", "py", (bell("hop", F.lit(radius)) * alpha).alias("k"))
+    sums = pull.groupBy("id").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("px")).alias("kx"), F.sum(F.col("k") * F.col("py")).alias("ky"))
+    move = lambda v: F.when(F.col("k").isNull(), F.col(v)).otherwise(F.col(v) + F.col(f"k{v}") - F.col("k") * F.col(v)).alias(v)
+    return net.join(sums, "id", "left").select("id", move("x"), move("y"))
+
+
+def path_nodes(links: DataFrame, start: int, end: int, most: int) -> DataFrame:
+    """Nodes (node) on the shortest paths of links between two nodes at most ``most`` links apart: those to be fixed."""
+    spark = links.sparkSession
+    one, two = (hops(links, spark.createDataFrame([(v,)], "node long"), most).select("node", F.col("hop").alias(f"h{k}")) for k, v in enumerate((start, end)))
+    both = one.join(two, "node").withColumn("through", F.col("h0") + F.col("h1"))
+    least = both.agg(F.min("through").alias("least"))
+    return both.join(F.broadcast(least)).where("through = least").select("node")
+
+
+def step_statistics(steps: DataFrame, by: str, value: str) -> DataFrame:
+    """Count, mean and deviation of a measured value for each step of a run."""
+    return steps.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("deviation"))

@@ -171,3 +171,35 @@ def contours(labels: DataFrame, least: int = 2) -> DataFrame:
     """Pixels with at least so many of 8 neighbours under another label."""
     near = shifted(labels, _square(1, False), ["label"]).groupBy("i", "j", "label").agg(F.count_if(F.col("n_label") != F.col("label")).alias("n"))
     return near.where(F.col("n") >= least).select("i", "j")
+
+
+#: Priors of a motion's smoothness: truncated quadratic, truncated linear, constant but for jumps, linear.
+PRIORS = ("pstq", "pstl", "pcp", "esl")
+
+
+def prior_term(net: DataFrame, prior: str, most: float = 10.0) -> DataFrame:
+    """Per node, the prior's energy between its motion (u, v) and those of its right and lower neighbours."""
+    near = shifted(net, [(1, 0, 1), (0, 1, 1)], ["u", "v"])
+    du, dv = F.col("n_u") - F.col("u"), F.col("n_v") - F.col("v")
+    d = F.sqrt(du * du + dv * dv)
+    energy = {"pstq": F.least(d * d, F.lit(most * most)), "pstl": F.least(d, F.lit(most)), "pcp": ((du != 0) | (dv != 0)).cast("double"), "esl": d}[prior]
+    sums = near.groupBy("i", "j").agg(F.sum(energy).alias("smooth"))
+    return net.select("i", "j").join(sums, ["i", "j"], "left").select("i", "j", F.coalesce("smooth", F.lit(0.0)).alias("smooth"))
+
+
+def length_difference(net: DataFrame, target: DataFrame) -> DataFrame:
+    """Per node, how far its length term is from that of the target net."""
+    other = length_term(target).withColumnRenamed("length", "_length")
+    return length_term(net).join(other, ["i", "j"]).select("i", "j", F.abs(F.col("length") - F.col("_length")).alias("smooth"))
+
+
+def motion_error(net: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per node, the distance of its motion (u, v) to the true one."""
+    both = net.select("i", "j", "u", "v").join(truth.select("i", "j", F.col("u").alias("_u"), F.col("v").alias("_v")), ["i", "j"])
+    du, dv = F.col("u") - F.col("_u"), F.col("v") - F.col("_v")
+    return both.select("i", "j", F.sqrt(du * du + dv * dv).alias("error"))
+
+
+def squared_window_term(costs: DataFrame, radius: int, size: tuple[int, int]) -> DataFrame:
+    """Squared costs summed over the window around each position, borders mirrored."""
+    return window_term(costs.select("i", "j", (F.col("cost") * F.col("cost")).alias("cost")), radius, size)

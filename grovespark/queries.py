@@ -275,7 +275,7 @@ def emst_parts(spark, d):
 
 @query()
 def emst_events(spark, d):
-    """Whole events table as points (value, time in hours); past LOCAL_POINTS, so by cells and components."""
+    """Whole events table as points (value, time in hours)."""
     p = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("x"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("y"))
     return tree.emst(p, XY)
 
@@ -322,13 +322,13 @@ _PULL = "CASE WHEN k IS NULL THEN {0} ELSE {0} + k{0} - k * {0} END"
 
 
 @query(f"""WITH {G}, o AS (SELECT di, dj, greatest(abs(di), abs(dj)) AS r FROM range(-3, 4) a(di), range(-3, 4) b(dj)),
-a AS (SELECT i, j, c / 100 AS px, v AS py FROM g WHERE id % 97 = 1), u AS (SELECT i + di AS i, j + dj AS j, px, py, exp(-(r * r) / (1.5 * 1.5)) * 0.1 AS k FROM a, o),
+a AS (SELECT i, j, c / 100 AS px, v AS py FROM g), u AS (SELECT i + di AS i, j + dj AS j, px, py, exp(-(r * r) / (1.5 * 1.5)) * 0.1 AS k FROM a, o),
 t AS (SELECT i, j, sum(k) AS k, sum(k * px) AS kx, sum(k * py) AS ky FROM u GROUP BY i, j), n AS (SELECT i, j, CAST(i AS DOUBLE) AS x, CAST(j AS DOUBLE) AS y FROM g)
 SELECT n.i, n.j, round({_PULL.format('x')}, 6) AS x, round({_PULL.format('y')}, 6) AS y FROM n LEFT JOIN t ON n.i = t.i AND n.j = t.j""")
 def som_trigger_step(spark, d):
     x, _ = grid(spark, d)
     net = x.select("i", "j", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), F.lit(False).alias("fixed"))
-    pull = x.where("id % 97 = 1").select("i", "j", (F.col("c") / 100).alias("px"), F.col("v").alias("py"))
+    pull = x.select("i", "j", (F.col("c") / 100).alias("px"), F.col("v").alias("py"))
     return som.som_trigger(net, pull, 0.1, 1.5).select("i", "j", r6("x", "x"), r6("y", "y"))
 
 
@@ -358,10 +358,73 @@ def roulette_pick(spark, d):
     return som.roulette(p, "nation", F.col("w"), (F.col("nation") * 37 % 101) / 101.0)
 
 
-@query()
+_U = "(((({0}) + {1}) % 2147483647 * 48271 + 11) % 2147483647 + 0.5) / 2147483647.0"
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS id, c_nationkey AS nation, c_acctbal + 1001 AS w, {_U.format('c_custkey', 7)} AS u FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY ln(u) / w DESC, id) AS r FROM p) SELECT id, nation, w FROM r WHERE r <= 3""")
 def weighted_sample(spark, d):
     p = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") + 1001).alias("w"))
-    return som.weighted_sample(p, "nation", F.col("w"), 3, 7)
+    return som.weighted_sample(p, "nation", F.col("w"), 3, 7, g.linear_uniform("id", 7))
+
+
+@query(f"""WITH u AS (SELECT c_custkey AS id, {_U.format('c_custkey', 1)} AS u, {_U.format('c_custkey', 2)} AS v FROM customer)
+SELECT id, round(-3 + u * 8, 6) AS between_, CAST(floor(u * 12) AS BIGINT) AS index_, u < 0.3 AS occurs, round(-ln(u), 6) AS expo, round(sqrt(-2 * ln(u)) * cos(2 * pi() * v), 6) AS normal_, CAST(CASE WHEN u < 0.2 THEN 0 WHEN u < 0.7 THEN 1 ELSE 2 END AS BIGINT) AS option FROM u""")
+def variates(spark, d):
+    x = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), g.linear_uniform("c_custkey", 1).alias("u"), g.linear_uniform("c_custkey", 2).alias("v"))
+    return x.select("id", r6(g.uniform_between("u", -3.0, 5.0), "between_"), g.uniform_index("u", 12).alias("index_"), g.occurs("u", 0.3).alias("occurs"), r6(g.exponential("u"), "expo"), r6(g.normal("u", "v"), "normal_"), g.choose("u", [2.0, 5.0, 3.0]).alias("option"))
+
+
+@query(f"""WITH RECURSIVE {G}, w0 AS (SELECT id, i, j, v FROM g WHERE i % 4 = 1 AND j % 4 = 1), """ + ", ".join(
+    f"w{k + 1} AS (SELECT w.id, coalesce(n.i, w.i) AS i, coalesce(n.j, w.j) AS j, coalesce(n.v, w.v) AS v FROM w{k} w LEFT JOIN g n ON n.i = w.i + ({di}) AND n.j = w.j + ({dj}) AND n.v < w.v)" for k, (di, dj) in enumerate(som.STEPS)
+) + " SELECT id, i, j, v FROM w8")
+def perturbed_seeds(spark, d):
+    x, _ = grid(spark, d)
+    return som.perturbed_seeds(x.where("i % 4 = 1 AND j % 4 = 1").select("id", "i", "j"), x)
+
+
+@query(f"""WITH {G}, c AS (SELECT DISTINCT i // 8 AS ci, j // 8 AS cj FROM g), o AS (SELECT di, dj FROM range(-3, 4) a(di), range(-3, 4) b(dj) WHERE greatest(abs(di), abs(dj)) >= 2)
+SELECT DISTINCT CAST(ci * 2 + 1 + di AS BIGINT) AS i, CAST(cj * 2 + dj AS BIGINT) AS j FROM c, o WHERE ci * 2 + 1 + di BETWEEN 0 AND 19 AND cj * 2 + dj BETWEEN 0 AND 29""")
+def fixed_borders(spark, d):
+    x, _ = grid(spark, d)
+    cells = x.select(F.floor(F.col("i") / 8).alias("i"), F.floor(F.col("j") / 8).alias("j")).distinct()
+    return som.fixed_borders(cells, (20, 30), 3, (5, 4))
+
+
+@query(f"WITH {G}, n AS (SELECT id, (SELECT count(*) FROM g) AS t FROM g) SELECT id, id // ((t + 6) // 7) AS cell, id % ((t + 6) // 7) AS place FROM n")
+def shared_out(spark, d):
+    x, _ = grid(spark, d)
+    return som.shared_out(x.select("id"), x.count(), 7).select("id", "cell", "place")
+
+
+_LINKS = "e AS (SELECT l_orderkey % 400 AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1), b AS (SELECT DISTINCT src, dst FROM e UNION SELECT dst, src FROM e)"
+
+
+def _links(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 400).alias("src"), F.col("l_suppkey").alias("dst"))
+
+
+@query(f"""WITH {_LINKS}, h0 AS (SELECT src AS source, src AS node, 0 AS hop FROM (VALUES (1), (7)) v(src)), h1 AS (SELECT * FROM h0 UNION ALL SELECT source, dst, 1 FROM h0 JOIN b ON node = src),
+h2 AS (SELECT source, node, min(hop) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT source, dst, 2 FROM h1 JOIN b ON node = src WHERE hop = 1) GROUP BY source, node)
+SELECT CAST(source AS BIGINT) AS source, CAST(node AS BIGINT) AS node, hop FROM h2""")
+def hops(spark, d):
+    return som.hops(_links(spark, d), spark.createDataFrame([(1,), (7,)], "node long"), 2).select("source", F.col("node").cast("long").alias("node"), "hop")
+
+
+@query(f"""WITH {_LINKS}, n AS (SELECT s_suppkey AS id, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier), a AS (SELECT id AS source, x / 2 AS px, y * 2 AS py FROM n WHERE id <= 3),
+h AS (SELECT source, node, min(hop) AS hop FROM (SELECT source, source AS node, 0 AS hop FROM a UNION ALL SELECT source, dst, 1 FROM a JOIN b ON src = source) GROUP BY 1, 2),
+k AS (SELECT node AS id, px, py, exp(-(hop * hop) / (1.5 * 1.5)) * 0.2 AS k FROM h JOIN a USING (source)), t AS (SELECT id, sum(k) AS k, sum(k * px) AS kx, sum(k * py) AS ky FROM k GROUP BY id)
+SELECT n.id, round({_PULL.format('x')}, 6) AS x, round({_PULL.format('y')}, 6) AS y FROM n LEFT JOIN t USING (id)""")
+def graph_trigger(spark, d):
+    net = s2(spark, d)
+    pull = net.where("id <= 3").select(F.col("id").alias("node"), (F.col("x") / 2).alias("px"), (F.col("y") * 2).alias("py"))
+    return som.graph_trigger(net, _links(spark, d), pull, 0.2, 1.5, 1).select("id", r6("x", "x"), r6("y", "y"))
+
+
+@query("SELECT l_linenumber AS step, count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(coalesce(stddev_pop(l_extendedprice), 0), 4) AS deviation FROM lineitem GROUP BY 1")
+def step_statistics(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("step"), "l_extendedprice")
+    return som.step_statistics(x, "step", "l_extendedprice").select("step", "n", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"))
 
 
 # --- Grids ------------------------------------------------------------------------------------------------
@@ -509,6 +572,35 @@ def cell_objective(spark, d):
     return win.cell_objective(grid(spark, d)[0], 8, {"v": 1.0, "c": 0.5}).select("ci", "cj", F.round("objective", 4).alias("objective"))
 
 
+def _motion(spark, d) -> DataFrame:
+    return grid(spark, d)[0].select("i", "j", (F.col("v").cast("long") % 7).cast("double").alias("u"), (F.col("c") / 100).alias("v"))
+
+
+_PRIOR = f"{G}, m AS (SELECT i, j, CAST(CAST(v AS BIGINT) % 7 AS DOUBLE) AS u, c / 100 AS v FROM g), d AS (SELECT a.i, a.j, sqrt((b.u - a.u) * (b.u - a.u) + (b.v - a.v) * (b.v - a.v)) AS d, b.u IS NOT NULL AS has FROM m a LEFT JOIN m b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1))"
+
+
+@query(f"""WITH {_PRIOR} SELECT i, j, round(coalesce(sum(CASE WHEN has THEN least(d * d, 9.0) END), 0), 6) AS pstq, round(coalesce(sum(CASE WHEN has THEN least(d, 3.0) END), 0), 6) AS pstl,
+round(coalesce(sum(CAST(has AND d <> 0 AS DOUBLE)), 0), 6) AS pcp, round(coalesce(sum(d), 0), 6) AS esl FROM d GROUP BY i, j""")
+def smoothness_priors(spark, d):
+    net, out = _motion(spark, d), None
+    for k in win.PRIORS:
+        now = win.prior_term(net, k, 3.0).select("i", "j", r6("smooth", k))
+        out = now if out is None else out.join(now, ["i", "j"])
+    return out
+
+
+@query(f"""WITH {G}, l AS (SELECT a.i, a.j, coalesce(sum(sqrt((b.c / 10 - a.c / 10) * (b.c / 10 - a.c / 10) + (b.v - a.v) * (b.v - a.v))), 0) AS one, coalesce(sum(sqrt((b.v - a.v) * (b.v - a.v) * 2)), 0) AS two FROM g a LEFT JOIN g b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1) GROUP BY a.i, a.j) SELECT i, j, round(abs(one - two), 6) AS smooth FROM l""")
+def length_difference(spark, d):
+    x, _ = grid(spark, d)
+    return win.length_difference(x.select("i", "j", (F.col("c") / 10).alias("x"), F.col("v").alias("y")), x.select("i", "j", F.col("v").alias("x"), F.col("v").alias("y"))).select("i", "j", r6("smooth", "smooth"))
+
+
+@query(f"WITH {G} SELECT i, j, round(sqrt((CAST(v AS BIGINT) % 7 - 3.0) * (CAST(v AS BIGINT) % 7 - 3.0) + (c / 100 - v / 5) * (c / 100 - v / 5)), 6) AS error FROM g")
+def motion_error(spark, d):
+    truth = grid(spark, d)[0].select("i", "j", F.lit(3.0).alias("u"), (F.col("v") / 5).alias("v"))
+    return win.motion_error(_motion(spark, d), truth).select("i", "j", r6("error", "error"))
+
+
 # --- Search over nodes and populations -------------------------------------------------------------------
 
 
@@ -531,6 +623,72 @@ def local_search(spark, d):
     return search.local_search(x.select("i", "j", F.lit(0.0).alias("v")), propose, cost, 4)
 
 
+@query(f"WITH {G} SELECT i, j, step, i + step * 0.5 AS x, j - step * 0.5 AS y FROM g, range(0, 4) s(step)")
+def line_candidates(spark, d):
+    x, _ = grid(spark, d)
+    net = x.select("i", "j", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"))
+    return search.line_candidates(net, (1, -1), 3, 2.0).select("i", "j", F.col("step").cast("long").alias("step"), "x", "y")
+
+
+def _absolute(x: DataFrame):
+    """A cost of (i, j, v) rows: how far v is from a tenth of the price."""
+    data = x.select("i", "j", (F.col("c") / 100).alias("_own"))
+    return lambda rows: rows.join(data, ["i", "j"]).select("i", "j", "v", F.abs(F.col("v") - F.col("_own")).alias("cost"))
+
+
+@query(f"""WITH {G}, m AS (SELECT i, j, v, i // 8 * 1000 + j // 8 AS grp, ((i // 8 + j // 8) % 5 - 2) * 3.0 AS delta, abs(v - c / 100) AS b, abs(v + ((i // 8 + j // 8) % 5 - 2) * 3.0 - c / 100) AS a FROM g),
+k AS (SELECT grp, sum(a) < sum(b) AS better FROM m GROUP BY grp) SELECT i, j, CASE WHEN better THEN v + delta ELSE v END AS v FROM m JOIN k USING (grp)""")
+def large_moves(spark, d):
+    x, _ = grid(spark, d)
+    ci, cj = F.floor(F.col("i") / 8), F.floor(F.col("j") / 8)
+    members = x.select((ci * 1000 + cj).alias("group"), "i", "j")
+    deltas = x.select((ci * 1000 + cj).alias("group"), (((ci + cj) % 5 - 2) * 3.0).alias("delta")).distinct()
+    return search.joint_moves(x.select("i", "j", "v"), members, deltas, _absolute(x))
+
+
+@query(f"""WITH {G}, c AS (SELECT id AS grp, i, j FROM g WHERE i % 3 = 1 AND j % 3 = 1), o AS (SELECT di, dj FROM range(-1, 2) a(di), range(-1, 2) b(dj)), w AS (SELECT i + di AS i, j + dj AS j, min(grp) AS grp FROM c, o GROUP BY 1, 2),
+m AS (SELECT g.i, g.j, w.grp, abs(v - c / 100) AS b, abs(v - 4.0 - c / 100) AS a FROM g JOIN w ON g.i = w.i AND g.j = w.j), k AS (SELECT grp FROM m GROUP BY grp HAVING sum(a) < sum(b)), n AS (SELECT i, j FROM m JOIN k USING (grp))
+SELECT g.i, g.j, CASE WHEN n.i IS NULL THEN v ELSE v - 4.0 END AS v FROM g LEFT JOIN n ON g.i = n.i AND g.j = n.j""")
+def window_moves(spark, d):
+    x, _ = grid(spark, d)
+    members = search.windows_of(x.where("i % 3 = 1 AND j % 3 = 1").select(F.col("id").alias("group"), "i", "j"), 1)
+    return search.joint_moves(x.select("i", "j", "v"), members, members.select("group", F.lit(-4.0).alias("delta")).distinct(), _absolute(x))
+
+
+@query(f"""WITH {G}, m AS (SELECT i, j, v, i // 8 * 1000 + j // 8 AS grp, {_U.format('id', 5)} < 0.4 AS moves, abs(v - c / 100) AS b, abs(v - 6.0 - c / 100) AS a FROM g),
+k AS (SELECT grp FROM m WHERE moves GROUP BY grp HAVING sum(a) < sum(b)) SELECT i, j, CASE WHEN moves AND k.grp IS NOT NULL THEN v - 6.0 ELSE v END AS v FROM m LEFT JOIN k USING (grp)""")
+def random_moves(spark, d):
+    x, _ = grid(spark, d)
+    members = search.random_pick(x, F.floor(F.col("i") / 8) * 1000 + F.floor(F.col("j") / 8), 0.4, g.linear_uniform("id", 5))
+    return search.joint_moves(x.select("i", "j", "v"), members, members.select("group", F.lit(-6.0).alias("delta")).distinct(), _absolute(x))
+
+
+@query(f"WITH {G}, e AS (SELECT i, j, c, CASE WHEN abs(9.0 - c / 100) < abs(v - c / 100) OR (abs(9.0 - c / 100) = abs(v - c / 100) AND 9.0 < v) THEN 9.0 ELSE v END AS v FROM g) SELECT i, j, CASE WHEN v IN (9.0, 12.0) AND (abs(21.0 - v - c / 100) < abs(v - c / 100) OR (abs(21.0 - v - c / 100) = abs(v - c / 100) AND 21.0 - v < v)) THEN 21.0 - v ELSE v END AS v FROM e")
+def expansion_and_swap(spark, d):
+    x, _ = grid(spark, d)
+    return search.swap(search.expansion(x.select("i", "j", "v"), 9.0, _absolute(x)), 9.0, 12.0, _absolute(x))
+
+
+@query(f"WITH {G} SELECT i, j, CASE WHEN abs(8.0 - c / 100) < abs(v - c / 100) OR (abs(8.0 - c / 100) = abs(v - c / 100) AND 8.0 < v) THEN 8.0 ELSE v END AS v FROM g")
+def variable_descent(spark, d):
+    """Two kinds of proposals: one that never helps, then a value that helps some nodes."""
+    x, _ = grid(spark, d)
+    kinds = [lambda f, k: f.select("i", "j", F.lit(1e6).alias("v")), lambda f, k: f.select("i", "j", F.lit(8.0).alias("v"))]
+    return search.variable_descent(x.select("i", "j", "v"), kinds, _absolute(x))
+
+
+@query(f"""WITH p AS (SELECT s_suppkey AS agent, s_acctbal AS cost, [CAST(s_nationkey AS DOUBLE), s_acctbal, CAST(s_suppkey AS DOUBLE)] AS state, {_U.format('s_suppkey', 3)} AS u, {_U.format('s_suppkey', 4)} AS v FROM supplier),
+r AS (SELECT *, row_number() OVER (ORDER BY cost, agent) AS up, row_number() OVER (ORDER BY cost DESC, agent DESC) AS down FROM p),
+c AS (SELECT w.agent, coalesce(b.agent, w.agent) AS source, w.state AS own, b.state AS other, CAST(floor(w.u * 4) AS INT) AS cut, CAST(floor(w.v * 3) AS INT) AS gene, ((w.v * 3 - floor(w.v * 3)) * 2 - 1) * 2.5 AS shift FROM r w LEFT JOIN r b ON w.down = b.up AND w.down <= 4),
+k AS (SELECT agent, source, CASE WHEN source = agent THEN own ELSE [CASE WHEN 0 < cut THEN other[1] ELSE own[1] END + CASE WHEN gene = 0 THEN shift ELSE 0 END, CASE WHEN 1 < cut THEN other[2] ELSE own[2] END + CASE WHEN gene = 1 THEN shift ELSE 0 END, CASE WHEN 2 < cut THEN other[3] ELSE own[3] END + CASE WHEN gene = 2 THEN shift ELSE 0 END] END AS s FROM c)
+SELECT agent, source, round(s[1], 6) AS a, round(s[2], 6) AS b, round(s[3], 6) AS c FROM k""")
+def ga_generation(spark, d):
+    s = table(spark, d, "supplier")
+    p = s.select(F.col("s_suppkey").alias("agent"), F.col("s_acctbal").alias("cost"), F.array(F.col("s_nationkey").cast("double"), "s_acctbal", F.col("s_suppkey").cast("double")).alias("state"))
+    out = search.generation(p, 4, 2.5, g.linear_uniform("agent", 3), g.linear_uniform("agent", 4))
+    return out.select("agent", "source", *[F.round(F.col("state")[k], 6).alias(n) for k, n in enumerate("abc")])
+
+
 _POP = "p AS (SELECT s_suppkey AS agent, s_acctbal AS cost FROM supplier), r AS (SELECT *, row_number() OVER (ORDER BY cost, agent) AS up, row_number() OVER (ORDER BY cost DESC, agent DESC) AS down FROM p)"
 
 
@@ -622,3 +780,28 @@ def neighbourhood_rings(spark, d):
 def windowed_cells(spark, d):
     x = windowed_density(table(spark, d, "events"), ["value"], 50.0)
     return x.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "cvalue", "n", F.round("sum_value", 4).alias("sum_value"))
+
+
+@query("SELECT s_suppkey AS id, (s_nationkey * 2 + 5 % 2) * 3 - 5 * 3 + 17 AS low, s_nationkey * 3 - 5 * 3 + 17 AS base, CAST(s_nationkey * 2 + 5 % 2 AS BIGINT) AS dual, CAST(s_nationkey AS DOUBLE) AS euclid FROM supplier")
+def grid_views(spark, d):
+    n = F.col("s_nationkey")
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), g.dual_to_low(n, 3, 5, 17).alias("low"), g.base_to_low(n, 3, 5, 17).alias("base"), g.dual_to_base(n, 5).cast("long").alias("dual"), g.to_euclid(n).alias("euclid"))
+
+
+@query("""WITH q AS (SELECT s_suppkey AS id, CAST(s_nationkey AS DOUBLE) AS a, s_acctbal / 100 AS b FROM supplier),
+s AS (SELECT id, unnest([0.0, 5.0]) AS px, unnest([0.0, 4.0]) AS py, unnest([5.0, 30.0]) AS qx, unnest([4.0, 0.0]) AS qy, a, b FROM q), t AS (SELECT *, a AS rx, -1.0 AS ry, a + 2 AS sx, b AS sy FROM s),
+k AS (SELECT *, (qx - px) * (ry - py) - (qy - py) * (rx - px) AS t1, (qx - px) * (sy - py) - (qy - py) * (sx - px) AS t2, (sx - rx) * (py - ry) - (sy - ry) * (px - rx) AS t3, (sx - rx) * (qy - ry) - (sy - ry) * (qx - rx) AS t4, (px - qx) * (ry - sy) - (py - qy) * (rx - sx) AS det, px * qy - py * qx AS u, rx * sy - ry * sx AS v FROM t)
+SELECT id, round((u * (rx - sx) - (px - qx) * v) / det, 6) AS x, round((u * (ry - sy) - (py - qy) * v) / det, 6) AS y FROM k WHERE t1 * t2 <= 0 AND t3 * t4 <= 0 AND NOT (t1 = 0 AND t2 = 0) AND det <> 0""")
+def polyline_crossings(spark, d):
+    p = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    one = F.array(p(0, 0), p(5, 4), p(30, 0))
+    two = F.array(F.struct(F.col("a").alias("x"), F.lit(-1.0).alias("y")), F.struct((F.col("a") + 2).alias("x"), F.col("b").alias("y")))
+    return _quads(spark, d).select("id", F.explode(g.polyline_crossings(one, two)).alias("p")).select("id", r6("p.x", "x"), r6("p.y", "y"))
+
+
+@query("""WITH q AS (SELECT s_suppkey AS id, CAST(s_nationkey AS DOUBLE) AS a, s_acctbal / 100 AS b FROM supplier), s AS (SELECT id, a, 1.0 AS y1, CASE WHEN b > a THEN b WHEN a + 3 > a THEN a + 3 END AS x2, CASE WHEN b > a THEN 2.0 ELSE 3.0 END AS y2 FROM q)
+SELECT id, round(a, 6) AS x1, round(x2, 6) AS x2, y2, round(CASE WHEN a + 3 > x2 THEN a + 3 ELSE x2 + 100 END, 6) AS x3, 3.0 AS y3 FROM s""")
+def increasing_polyline(spark, d):
+    p = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
+    line = g.increasing(F.array(p(F.col("a"), 1.0), p(F.col("b"), 2.0), p(F.col("a") + 3, 3.0)))
+    return _quads(spark, d).select("id", line.alias("l")).select("id", r6(F.col("l")[0]["x"], "x1"), r6(F.col("l")[1]["x"], "x2"), F.col("l")[1]["y"].alias("y2"), r6(F.col("l")[2]["x"], "x3"), F.col("l")[2]["y"].alias("y3"))
