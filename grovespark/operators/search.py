@@ -134,20 +134,25 @@ def best_and_worst(population: DataFrame) -> DataFrame:
     return population.agg(F.min(F.struct("cost", "agent")).alias("b"), F.max(F.struct("cost", "agent")).alias("w")).select(F.col("b.agent").alias("best"), F.col("b.cost").alias("best_cost"), F.col("w.agent").alias("worst"), F.col("w.cost").alias("worst_cost"))
 
 
+def _extreme(population: DataFrame, k: int, worst: bool) -> DataFrame:
+    """The k best or worst (agent, cost, place from 1); only k rows are ranked."""
+    order = [F.desc("cost"), F.desc("agent")] if worst else [F.col("cost"), F.col("agent")]
+    return population.select("agent", "cost").orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def select(population: DataFrame, k: int) -> DataFrame:
     """The k best states overwrite the k worst: (agent, source, cost), source being the agent whose state it has."""
-    up, down = Window.orderBy("cost", "agent"), Window.orderBy(F.desc("cost"), F.desc("agent"))
-    ranked = population.select("agent", "cost", F.row_number().over(up).alias("up"), F.row_number().over(down).alias("down"))
-    best = ranked.where(F.col("up") <= k).select(F.col("up").alias("down"), F.col("agent").alias("source"), F.col("cost").alias("new"))
-    worst = ranked.where(F.col("down") <= k).join(best, "down").select("agent", "source", F.col("new").alias("cost"))
-    return worst.union(ranked.where(F.col("down") > k).select("agent", F.col("agent").alias("source"), "cost"))
+    best = _extreme(population, k, False).select("place", F.col("agent").alias("source"), F.col("cost").alias("new"))
+    worst = _extreme(population, k, True)
+    taken = worst.join(best, "place").select("agent", "source", F.col("new").alias("cost"))
+    return taken.union(population.join(worst.select("agent"), "agent", "left_anti").select("agent", F.col("agent").alias("source"), "cost"))
 
 
 def select_elite(population: DataFrame, best: DataFrame, k: int) -> DataFrame:
     """The best so far (agent, cost; one row) overwrites the k worst."""
-    down = Window.orderBy(F.desc("cost"), F.desc("agent"))
-    ranked = population.select("agent", "cost", F.row_number().over(down).alias("down")).join(F.broadcast(best.select(F.col("agent").alias("_a"), F.col("cost").alias("_c"))))
-    return ranked.select("agent", F.when(F.col("down") <= k, F.col("_a")).otherwise(F.col("agent")).alias("source"), F.when(F.col("down") <= k, F.col("_c")).otherwise(F.col("cost")).alias("cost"))
+    worst = _extreme(population, k, True).select("agent")
+    taken = worst.join(F.broadcast(best.select(F.col("agent").alias("source"), "cost"))).select("agent", "source", "cost")
+    return taken.union(population.join(worst, "agent", "left_anti").select("agent", F.col("agent").alias("source"), "cost"))
 
 
 def crossed(a, b, u: Column) -> Column:

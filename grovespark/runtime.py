@@ -17,11 +17,13 @@ _tables: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster; a temporary folder of this
-    machine is set only where that setting is missing (tests, local mode).
+    ``spark.checkpoint.dir`` names it on a cluster; in local mode, where that
+    setting is missing, it is a temporary folder of this machine.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = getattr(spark, "_grove_shared", None)
         if not path:
             path = "file://" + tempfile.mkdtemp(prefix="grove-")

@@ -105,12 +105,15 @@ def write_grid(grid: DataFrame, path: str, names: list[str]) -> None:
     _as_text(grid, ["j", "i"], F.concat_ws(" ", *[F.col(n).cast("string") for n in names]), header).write.text(path)
 
 
-def write_links(edges: DataFrame, nodes: DataFrame, path: str) -> None:
-    """Edges (src, dst) of nodes numbered 0..n-1 as adjacency of an n x 1 net."""
+def write_links(edges: DataFrame, nodes: DataFrame, path: str, wide: int | None = None) -> None:
+    """Edges (src, dst) of nodes numbered from 0 as adjacency of a net ``wide`` nodes wide, node number y * wide + x; of an n x 1 net without it."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("id", "b").groupBy("id").agg(F.sort_array(F.collect_list("b")).alias("bs"))
     own = nodes.select("id").join(both, "id", "left").select("id", F.coalesce("bs", F.array().cast("array<bigint>")).alias("bs"))
-    line = F.concat(F.lit("NodeP = "), F.col("id").cast("string"), F.lit(" 0 NumLinks = "), F.size("bs").cast("string"), F.array_join(F.transform("bs", lambda b: F.concat(F.lit(" "), b.cast("string"), F.lit(" 0"))), ""))
-    header = F.concat(F.lit("Width = "), (F.max("id") + 1).cast("string"), F.lit(" Height = 1"))
+    x, y = ((lambda v: v % wide), (lambda v: F.floor(v / wide))) if wide else ((lambda v: v), (lambda v: F.lit(0)))
+    place = lambda v: F.concat(F.lit(" "), x(v).cast("string"), F.lit(" "), y(v).cast("string"))
+    line = F.concat(F.lit("NodeP ="), place(F.col("id")), F.lit(" NumLinks = "), F.size("bs").cast("string"), F.array_join(F.transform("bs", place), ""))
+    size = (F.lit(wide), F.floor(F.max("id") / wide) + 1) if wide else (F.max("id") + 1, F.lit(1))
+    header = F.concat(F.lit("Width = "), size[0].cast("string"), F.lit(" Height = "), size[1].cast("string"))
     _as_text(own, ["id"], line, header).write.text(path)
 
 

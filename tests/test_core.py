@@ -85,6 +85,25 @@ def test_trees_and_searches_of_clusters_copies_and_far_points(spark):
         assert odd[odd.src == i].dst.tolist() == [w[3] for w in want if w[3] % 7 == 0][:1]
 
 
+@pytest.mark.parametrize("name", ["emst_events", "emst_parts"])
+def test_whole_tables_have_the_least_tree(spark, name):
+    if name == "emst_events":
+        p = pd.read_parquet(f"{DATA}/events.parquet")
+        xy = np.stack([p.value, pd.to_datetime(p.ts).astype("datetime64[us]").astype("int64") / 3.6e9], 1)
+    else:
+        p = pd.read_parquet(f"{DATA}/part.parquet")
+        xy = np.stack([p.p_size.astype(float), p.p_retailprice], 1)
+    best, live, total = np.full(len(xy), np.inf), np.ones(len(xy), bool), 0.0
+    at = 0
+    for _ in range(len(xy) - 1):
+        live[at] = False
+        best = np.where(live, np.minimum(best, np.hypot(*(xy - xy[at]).T)), np.inf)
+        at = int(best.argmin())
+        total += best[at]
+    got = core.QUERIES[name](spark, DATA).toPandas()
+    assert len(got) == len(xy) - 1 and got["length"].sum() == pytest.approx(total, rel=1e-9)
+
+
 def test_forests_of_arrays():
     rng = np.random.default_rng(3)
     for n, m in ((1, 0), (5, 3), (40, 200), (300, 200)):
@@ -166,6 +185,8 @@ def test_text_and_binary_round_trips(spark, tmp_path):
     edges, nodes = spark.createDataFrame([(0, 1), (1, 3)], "src long, dst long"), spark.range(4)
     text.write_links(edges, nodes, str(tmp_path / "l"))
     assert sorted(map(tuple, text.read_links(spark, str(tmp_path / "l")).collect())) == [(0, 1), (1, 3)]
+    text.write_links(edges, nodes, str(tmp_path / "l2"), 2)
+    assert sorted(map(tuple, text.read_links(spark, str(tmp_path / "l2")).collect())) == [(0, 1), (1, 3)]
     (tmp_path / "c.cfg").write_text("# note\n[one]\na = 1 ; why\n[two]\nb=x y\n")
     assert {tuple(r) for r in text.read_config(spark, str(tmp_path / "c.cfg")).collect()} == {("one", "a", "1"), ("two", "b", "x y")}
     flow = np.arange(12, dtype=np.float32).reshape(2, 3, 2)
