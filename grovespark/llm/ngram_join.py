@@ -411,3 +411,16 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM g a JOIN g b ON a.shingle = b.shingle AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t(a, b) AS (SELECT r, r FROM d UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b),
+m AS (SELECT t.a AS r, min(doc_id) AS component_id FROM t JOIN d ON d.r = t.b GROUP BY t.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN m USING (r) LEFT JOIN n USING (r)
+"""

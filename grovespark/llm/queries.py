@@ -4,7 +4,7 @@ from grovespark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from grovespark.llm.language_id import op9_language_id
 from grovespark.llm.lm_scoring import op2_lm_scoring
 from grovespark.llm.mixing import op8_mixing
-from grovespark.llm.ngram_join import op4_ngram_jaccard_join
+from grovespark.llm.ngram_join import OP4_SQL, op4_ngram_jaccard_join
 from grovespark.llm.packing import op10_best_fit_packing
 from grovespark.llm.quality_classifier import op1_quality_classifier
 from grovespark.llm.quality_rules import op7_quality_rules
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL}
