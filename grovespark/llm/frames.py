@@ -22,7 +22,7 @@ def fold(n: int, key: str = "doc_id") -> Column:
 
 
 def summed(parts: DataFrame, kind, blocks: int) -> np.ndarray:
-    """Sum dense tables that tasks emit as rows ``(block int, part binary)``.
+    """Sum dense tables of whole numbers that tasks emit as rows ``(block int, part binary)``, as 64-bit numbers, so in any order.
 
     Each block is summed as it streams by, so a task holds one block however
     many tables there are; the driver gets one table of fixed size.
@@ -36,16 +36,16 @@ def summed(parts: DataFrame, kind, blocks: int) -> np.ndarray:
                 if k in total:
                     total[k] += v
                 else:
-                    total[k] = v.copy()
+                    total[k] = v.astype(np.int64)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "part"])
 
     salted = parts.repartition(blocks, F.col("block")).mapInArrow(add, "block int, part binary")
     got: dict[int, np.ndarray] = {}
     for r in salted.toLocalIterator():
-        v = np.frombuffer(r.part, kind)
+        v = np.frombuffer(r.part, np.int64)
         got[r.block] = got[r.block] + v if r.block in got else v
-    return np.concatenate([got[k] for k in range(blocks)]) if got else np.zeros(0, kind)
+    return np.concatenate([got[k] for k in range(blocks)]) if got else np.zeros(0, np.int64)
 
 
 def placed(df: DataFrame, group: list[str], order: list[str], value: Column | None = None, name: str = "place") -> DataFrame:

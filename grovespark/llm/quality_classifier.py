@@ -60,9 +60,12 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         for b in batches:
             for s in slices(strings(b)):
                 contexts(s, total)
-        yield table_rows(total.astype(np.float32), 16)
+            if np.abs(total).max() > 1 << 30:  # four bytes a number are enough for what a task sends at once
+                yield table_rows(total.astype(np.int32), 16)
+                total[:] = 0
+        yield table_rows(total.astype(np.int32), 16)
 
-    got = summed(clean(docs, "text").mapInArrow(trimmed(count), "block int, part binary"), np.float32, 16)
+    got = summed(clean(docs, "text").mapInArrow(trimmed(count), "block int, part binary"), np.int32, 16)
     v = got.reshape(VOCAB, DIM).astype(np.float64) if len(got) else np.zeros((VOCAB, DIM))
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 

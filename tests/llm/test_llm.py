@@ -109,6 +109,62 @@ def test_classifiers_learn_and_cover_odd_rows(spark, docs, labels, odd, none):
         assert run(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_word_vectors_pools_and_scores_by_brute_force(spark, odd):
+    q, size, dim = quality_classifier, quality_classifier.VOCAB, quality_classifier.DIM
+    texts = [r.text[:400] if r.text else r.text for r in odd.collect()]
+    data = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    key = {}  # the two row keys of a word, by the word alone
+    for w in {w for t in texts for w in W.findall(t or "")}:
+        key[w] = [int(k[0]) for k in q.rows_of(next(textops.slices(pa.array([w]))))[1]]
+    want = np.zeros((size, dim))
+    for t in texts:
+        own = W.findall(t or "")
+        for a, b in ((a, b) for a in range(len(own)) for b in range(len(own)) if 0 < abs(a - b) <= q.WINDOW):
+            for row in key[own[a]]:
+                for k in key[own[b]]:
+                    want[row % size, (k >> 33) % dim] += 1 - 2 * (k >> 32 & 1)
+    got = q.word_vectors(data)
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.abs(got - want / np.maximum(norm, 1e-9)).max() < 1e-6
+    rng = np.random.default_rng(1)
+    net = q.Network(rng.normal(size=q.WIDTH), rng.random(q.WIDTH), rng.normal(size=(q.WIDTH, q.HIDDEN)), rng.normal(size=q.HIDDEN), rng.normal(size=q.HIDDEN), 0.3, 1.7)
+    x = np.concatenate([q.pooled(s, got) for s in textops.slices(pa.array(texts), 300)])
+    for t, p, score in zip(texts, x, net.scores(x)):
+        own = W.findall(t or "")
+        parts, likes = [], []
+        for k in (0, 1):
+            v = np.array([got[key[w][k] % size] for w in own]).reshape(-1, dim).astype(float)
+            parts += [v.mean(0), v.std(0)] if own else [np.zeros(dim)] * 2
+            likes.append(sum(a @ b for a, b in zip(v, v[1:])) / max(len(own) - 1, 1))
+        full = np.concatenate([*parts, likes])
+        assert np.abs(full - p).max() < 1e-3
+        hidden = [math.tanh(sum((full[i] - net.shift[i]) * net.scale[i] * net.w1[i, j] for i in range(q.WIDTH)) + net.b1[j]) for j in range(q.HIDDEN)]
+        assert score == pytest.approx(1 / (1 + math.exp(-(np.dot(hidden, net.w2) + net.b2) / net.temperature)), abs=2e-3)
+
+
+def test_noisy_or_by_brute_force(spark, odd, labels, monkeypatch):
+    rng = np.random.default_rng(2)
+    weights = rng.normal(0, 1, 1 << toxicity.BITS).astype(np.float32)
+    monkeypatch.setattr(toxicity, "learn", lambda *_: (weights, -3.0))
+    texts = [r.text[:2000] if r.text else r.text for r in odd.collect()] + ["One two. Three!\nfour five\n\nsix? (seven), eight", "no end.\nnext", "a.b c."]
+    data = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    logit = {}
+    for w in {w for t in texts for w in W.findall(t or "")}:
+        logit[w] = float(sum(weights[f[0]] for f in toxicity.Sentences(next(textops.slices(pa.array([w])))).features()))
+    got = {r.doc_id: r for r in toxicity.toxicity(data, labels).collect()}
+    for k, t in enumerate(texts):
+        sentences, before = [], None
+        for m in W.finditer(t or ""):
+            if before is None or before.group()[-1] in ".!?" or t[m.start() - 1] == "\n":
+                sentences.append([])
+            sentences[-1].append(m)
+            before = m
+        chance = [1 / (1 + math.exp(-max(-40, min(40, -3.0 + sum(logit[m.group()] for m in s))))) for s in sentences]
+        assert got[k].score == pytest.approx(1 - math.prod(1 - p for p in chance), abs=1e-5)
+        spans = [(len(t[: s[0].start()].encode()), len(t[: s[-1].end()].encode())) for s, p in zip(sentences, chance) if p >= 0.5]
+        assert [(o.start, o.end) for o in got[k].offending] == spans
+
+
 def test_toxicity_locates_the_sentence(spark):
     rng = np.random.default_rng(3)
     word = lambda: "w" + str(rng.integers(60))
