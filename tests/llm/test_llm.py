@@ -23,10 +23,10 @@ TEXTS = [None, "", " ", "\t\n ", "a", "A  b", "a b", "One two three four five",
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    """Nulls, empty and long texts, repeated rows, null ids, and an extra column."""
+    """Nulls, empty and long texts (one longer than a slice), repeated rows, null ids, and extra columns, one of which differs by case alone."""
     rows = [(k, t, "en" if k % 2 else None, "s" if k % 3 else None, 0) for k, t in enumerate(TEXTS)]
-    rows += [(3, TEXTS[3], "en", "s", 0), (None, "a b", None, None, None), (None, None, None, None, None), (90, LONG, "de", "t", 1), (91, "a b", "de", "t", 1)]
-    return spark.createDataFrame(rows, SCHEMA).selectExpr("*", "text AS digest", "doc_id AS Text_", "1 AS kept")
+    rows += [(3, TEXTS[3], "en", "s", 0), (None, "a b", None, None, None), (None, None, None, None, None), (90, LONG, "de", "t", 1), (91, "a b", "de", "t", 1), (92, "alpha beta " * 100_000, "en", "s", 1)]
+    return spark.createDataFrame(rows, SCHEMA).selectExpr("*", "text AS digest", "doc_id AS Text_", "1 AS kept", "n_chars AS TEXT")
 
 
 @pytest.fixture(scope="module")
