@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grovespark.functions.geometry import mirror
@@ -40,6 +42,41 @@ def edge4(grid: DataFrame) -> DataFrame:
     return near.groupBy("i", "j").agg(F.sum(F.abs(F.col("n_v") - F.col("v"))).alias("edge"))
 
 
+def _box(grid: DataFrame, at: Callable[[str], Column]) -> dict[str, tuple[int, int]]:
+    """Least and greatest value of i and j; 0 for no rows."""
+    r = grid.agg(*[f(at(a)) for a in "ij" for f in (F.min, F.max)]).first()  # one row
+    return {"i": (r[0] or 0, r[1] or 0), "j": (r[2] or 0, r[3] or 0)}
+
+
+#: Positions along a side of a block.
+BLOCK = 64
+
+
+def by_block(grid: DataFrame, sources: DataFrame, reach: int, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``kernel`` on each block of positions and on the sources (_ni, _nj, n_*) at most ``reach`` from it.
+
+    One shuffle: a source is copied to the blocks it is near, instead of each
+    position to each place of its window, and no side is sent to the driver.
+    """
+    at = lambda a, d=0: F.floor((F.col(a) + d) / BLOCK)
+    box = _box(grid, at)
+    mine = grid.where("i IS NOT NULL AND j IS NOT NULL").withColumns({f"_b{a}": at(a) for a in "ij"})
+    near = sources.select(*[F.col(c).alias(f"_n{c}" if c in ("i", "j") else f"n_{c}") for c in sources.columns])  # new attributes: a cogroup mixes up shared ones
+    for a in "ij":
+        near = near.withColumn(f"_b{a}", F.explode(F.sequence(at(f"_n{a}", -reach), at(f"_n{a}", reach)))).where(F.col(f"_b{a}").between(*box[a]))
+    keys = ["_bi", "_bj"]
+    return mine.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(lambda x, y: kernel(x.drop(columns=keys), y.drop(columns=keys)), schema)
+
+
+def _near(some: pd.DataFrame, sources: pd.DataFrame, offsets: Sequence[tuple]) -> pd.DataFrame:
+    """In a block, each of some rows with the sources at its offsets (_, di, dj)."""
+    di, dj = (np.array([o[k] for o in offsets], dtype=np.int64) for k in (1, 2))
+    x = some.loc[some.index.repeat(len(offsets))].reset_index(drop=True)
+    x["di"], x["dj"] = np.tile(di, len(some)), np.tile(dj, len(some))
+    x["_ni"], x["_nj"] = x["i"] + x["di"], x["j"] + x["dj"]
+    return x.merge(sources, on=["_ni", "_nj"])
+
+
 def sobel(grid: DataFrame, size: tuple[int, int]) -> DataFrame:
     """Gradient magnitude by the Sobel weights, borders mirrored."""
     near = shifted(grid, _square(1, False), ["v"], size)
@@ -86,18 +123,20 @@ def cross_check(left: DataFrame, right: DataFrame, most: float) -> DataFrame:
 
 def fill_occluded(grid: DataFrame, reach: int = 40) -> DataFrame:
     """Occluded pixels (i, j, v, occluded) get the least value of the nearest ring that has one; none in reach: their own."""
-    left = grid.where("occluded").select("i", "j")
-    seen = grid.where("NOT occluded").select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("v").alias("_v"))
-    found, ring = None, 1
-    while ring <= reach:  # rings in doubling spans: most holes close in the first
-        span = [(i, j, r) for r, i, j in ring_offsets("quad", min(reach, 2 * ring - 1)) if r >= ring]
-        x = left.select("i", "j", F.explode(_offsets(span)).alias("o"))
-        x = x.join(seen, (F.col("i") + F.col("o.di") == F.col("_i")) & (F.col("j") + F.col("o.dj") == F.col("_j")))
-        now = x.groupBy("i", "j").agg(F.min(F.struct(F.col("o.w").alias("ring"), F.col("_v").alias("fill"))).alias("b")).select("i", "j", "b.fill")
-        found = now if found is None else found.union(now)
-        left = left.join(now, ["i", "j"], "left_anti")
-        ring *= 2
-    return grid.join(found, ["i", "j"], "left").select("i", "j", F.coalesce("fill", "v").alias("v"))
+
+    def filled(rows: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+        left = rows[rows["occluded"]].assign(row=lambda x: x.index)
+        for ring in range(1, reach + 1):
+            if left.empty or sources.empty:
+                break
+            near = _near(left, sources, [o for o in ring_offsets("quad", ring) if o[0] == ring])
+            fill = near.groupby("row")["n_v"].min()
+            rows.loc[fill.index, "v"] = fill.where(fill.notna(), rows["v"].loc[fill.index])
+            left = left.drop(index=fill.index)
+        return rows[["i", "j", "v"]]
+
+    out = by_block(grid.select("i", "j", "v", "occluded"), grid.where("NOT occluded").select("i", "j", "v"), reach, filled, "i long, j long, v double")
+    return out.union(grid.where("i IS NULL OR j IS NULL").select("i", "j", "v"))
 
 
 def edge_density(grid: DataFrame, threshold: float) -> DataFrame:

@@ -15,6 +15,7 @@ from grovespark import queries as core
 from grovespark.functions import geometry as g
 from grovespark.operators import emst as tree, neighbors as nb, search, som, windows as win
 from grovespark.operators.components import connected_components
+from grovespark.runtime import stored
 from grovespark.sources import binary, text
 
 DATA = "/root/testdata/sf0.001"
@@ -210,3 +211,34 @@ def test_queries_agree_with_sql(spark, name):
     cols = sorted(got.columns)
     got, want = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=1e-6)
+
+
+def image(spark, wide=70, high=66, missing=()):
+    """A grid of more than one block with its rows as plain Python: (i, j) -> (v, c)."""
+    rng = np.random.default_rng(3)
+    rows = {(i, j): (float(rng.integers(0, 9)), float(rng.random())) for i in range(wide) for j in range(high) if (i, j) not in missing}
+    return stored(spark.createDataFrame([(i, j, v, c) for (i, j), (v, c) in rows.items()], "i long, j long, v double, c double")), rows
+
+
+def around(rows, i, j, radius, size):
+    """(di, dj, v, c) of a window with mirrored borders."""
+    back = lambda x, n: -x if x < 0 else 2 * n - 2 - x if x >= n else x
+    places = [(a, b, (back(i + a, size[0]), back(j + b, size[1]))) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]
+    return [(a, b, *rows[p]) for a, b, p in places if p in rows]
+
+
+def unsent(df):
+    """The rows of a plan that sends no side of a join to the driver, however small the tables look."""
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    return {(r.i, r.j): r[2] for r in df.collect()}
+
+
+def test_holes_are_filled_across_blocks_without_broadcasts(spark):
+    x, rows = image(spark)
+    hidden = {p for p, (v, _) in rows.items() if v < 3} | {(i, j) for i in range(55, 68) for j in range(58, 66)}
+    holes = spark.createDataFrame([(i, j, v, (i, j) in hidden) for (i, j), (v, _) in rows.items()] + [(None, 1, 4.0, True)], "i long, j long, v double, occluded boolean")
+    got = unsent(win.fill_occluded(stored(holes), 4))
+    assert got.pop((None, 1)) == 4.0 and set(got) == set(rows)
+    for (i, j), (v, _) in rows.items():
+        near = sorted((max(abs(a - i), abs(b - j)), rows[a, b][0]) for a in range(i - 4, i + 5) for b in range(j - 4, j + 5) if (a, b) in rows and (a, b) not in hidden)
+        assert got[i, j] == (near[0][1] if (i, j) in hidden and near else v)
