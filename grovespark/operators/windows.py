@@ -42,6 +42,17 @@ def edge4(grid: DataFrame) -> DataFrame:
     return near.groupBy("i", "j").agg(F.sum(F.abs(F.col("n_v") - F.col("v"))).alias("edge"))
 
 
+def padded(grid: DataFrame, reach: int, values: Sequence[str], size: tuple[int, int] | None = None) -> DataFrame:
+    """The grid's values at all places (i, j) at most ``reach`` from its box that a window reads: with ``size``, borders are mirrored."""
+    box = _box(grid, F.col)
+    out = grid.select("i", "j", *values).where("i IS NOT NULL AND j IS NOT NULL")
+    for a, n in zip("ij", size or ()):
+        p = F.col(a)  # the places that mirror to p: itself, -p below 0, 2n - 2 - p from n on
+        images = F.array(F.when((p >= 0) & (p < n), p), F.when(p > 0, -p), F.when(2 * n - 2 - p >= n, 2 * n - 2 - p))
+        out = out.withColumn(a, F.explode(images)).where(F.col(a).between(box[a][0] - reach, box[a][1] + reach))
+    return out
+
+
 def _box(grid: DataFrame, at: Callable[[str], Column]) -> dict[str, tuple[int, int]]:
     """Least and greatest value of i and j; 0 for no rows."""
     r = grid.agg(*[f(at(a)) for a in "ij" for f in (F.min, F.max)]).first()  # one row
@@ -78,11 +89,14 @@ def _near(some: pd.DataFrame, sources: pd.DataFrame, offsets: Sequence[tuple]) -
 
 
 def sobel(grid: DataFrame, size: tuple[int, int]) -> DataFrame:
-    """Gradient magnitude by the Sobel weights, borders mirrored."""
-    near = shifted(grid, _square(1, False), ["v"], size)
-    gi = F.sum(F.col("n_v") * F.col("di") * (2 - F.abs("dj")))
-    gj = F.sum(F.col("n_v") * F.col("dj") * (2 - F.abs("di")))
-    return near.groupBy("i", "j").agg(gi.alias("gi"), gj.alias("gj")).select("i", "j", F.sqrt(F.col("gi") * F.col("gi") + F.col("gj") * F.col("gj")).alias("sobel"))
+    """Gradient magnitude by the Sobel weights, borders mirrored: each place adds its share to the positions around it."""
+    v, di, dj = F.col("v"), F.col("o.di"), F.col("o.dj")
+    shares = padded(grid, 1, ["v"], size).select("i", "j", "v", F.explode(_offsets(_square(1))).alias("o"))
+    shares = shares.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), (v * di * (2 - F.abs(dj))).alias("gi"), (v * dj * (2 - F.abs(di))).alias("gj"), F.lit(0).alias("n"))
+    own = grid.where("i IS NOT NULL AND j IS NOT NULL").select("i", "j", F.lit(None).cast("double").alias("gi"), F.lit(None).cast("double").alias("gj"), F.lit(1).alias("n"))
+    sums = shares.union(own).groupBy("i", "j").agg(F.sum("gi").alias("gi"), F.sum("gj").alias("gj"), F.sum("n").alias("n"), F.count("*").alias("rows"))
+    gi, gj = F.col("gi") * F.col("n"), F.col("gj") * F.col("n")
+    return sums.where((F.col("n") > 0) & (F.col("rows") > F.col("n"))).select("i", "j", F.sqrt(gi * gi + gj * gj).alias("sobel"))
 
 
 def median_filter(grid: DataFrame, radius: int, size: tuple[int, int], only: Column | None = None) -> DataFrame:

@@ -242,3 +242,14 @@ def test_holes_are_filled_across_blocks_without_broadcasts(spark):
     for (i, j), (v, _) in rows.items():
         near = sorted((max(abs(a - i), abs(b - j)), rows[a, b][0]) for a in range(i - 4, i + 5) for b in range(j - 4, j + 5) if (a, b) in rows and (a, b) not in hidden)
         assert got[i, j] == (near[0][1] if (i, j) in hidden and near else v)
+
+
+def test_sobel_by_shares_without_broadcasts(spark):
+    x, rows = image(spark, missing={(5, 5), (0, 1)})
+    got = unsent(win.sobel(x, (70, 66)))
+    for i, j in rows:
+        near = around(rows, i, j, 1, (70, 66))
+        gi, gj = sum(v * a * (2 - abs(b)) for a, b, v, _ in near), sum(v * b * (2 - abs(a)) for a, b, v, _ in near)
+        assert got[i, j] == pytest.approx(math.hypot(gi, gj))
+    assert set(got) == set(rows)
+    assert unsent(win.sobel(spark.createDataFrame([(3, 0, 2.0)], "i long, j long, v double"), (40, 1))) == {(3, 0): 0.0}  # as the SQL: no neighbour, no slope
