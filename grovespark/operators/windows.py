@@ -101,18 +101,17 @@ def sobel(grid: DataFrame, size: tuple[int, int]) -> DataFrame:
 
 def median_filter(grid: DataFrame, radius: int, size: tuple[int, int], only: Column | None = None) -> DataFrame:
     """Median of the window around the positions that ``only`` selects; other positions keep their value."""
-    chosen = grid if only is None else grid.where(only)
-    near = shifted_from(chosen, grid, _square(radius), ["v"], size)
-    out = near.groupBy("i", "j").agg(F.median("n_v").alias("m"))
-    return grid.join(out, ["i", "j"], "left").select("i", "j", F.coalesce("m", "v").alias("v"))
+    offsets = ring_offsets("quad", radius)
 
+    def medians(rows: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["i", "j", "v"], ignore_index=True)
+        near = _near(rows[rows["on"]].assign(row=lambda x: x.index), sources, offsets)
+        m = near.groupby("row")["n_v"].median()
+        rows.loc[m.index, "v"] = m
+        return rows[["i", "j", "v"]]
 
-def shifted_from(some: DataFrame, grid: DataFrame, offsets: Sequence[tuple[int, int, float]], values: Sequence[str], size: tuple[int, int]) -> DataFrame:
-    """As :func:`shifted`, with windows around ``some`` positions over the values of ``grid``."""
-    x = some.select("*", F.explode(_offsets(offsets)).alias("o")).select("*", "o.di", "o.dj", "o.w").drop("o")
-    x = x.withColumns({"_ni": mirror(F.col("i") + F.col("di"), size[0]), "_nj": mirror(F.col("j") + F.col("dj"), size[1])})
-    side = grid.select(F.col("i").alias("_ni"), F.col("j").alias("_nj"), *[F.col(v).alias(f"n_{v}") for v in values])
-    return x.join(side, ["_ni", "_nj"]).drop("_ni", "_nj")
+    on = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    return by_block(grid.select("i", "j", "v", on.alias("on")), padded(grid, radius, ["v"], size), radius, medians, "i long, j long, v double")
 
 
 def weighted_median_filter(grid: DataFrame, radius: int, size: tuple[int, int], spatial: float = 18.0, colour: float = 0.1) -> DataFrame:

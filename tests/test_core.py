@@ -253,3 +253,9 @@ def test_sobel_by_shares_without_broadcasts(spark):
         assert got[i, j] == pytest.approx(math.hypot(gi, gj))
     assert set(got) == set(rows)
     assert unsent(win.sobel(spark.createDataFrame([(3, 0, 2.0)], "i long, j long, v double"), (40, 1))) == {(3, 0): 0.0}  # as the SQL: no neighbour, no slope
+
+
+def test_median_by_blocks_without_broadcasts(spark):
+    x, rows = image(spark, missing={(5, 5), (0, 1)})
+    got = unsent(win.median_filter(x, 2, (70, 66), F.col("v") > 4))
+    assert got == {(i, j): float(np.median([n[2] for n in around(rows, i, j, 2, (70, 66))])) if v > 4 else v for (i, j), (v, _) in rows.items()}
