@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from grovespark.functions.geometry import mirror
 
@@ -116,14 +116,18 @@ def median_filter(grid: DataFrame, radius: int, size: tuple[int, int], only: Col
 
 def weighted_median_filter(grid: DataFrame, radius: int, size: tuple[int, int], spatial: float = 18.0, colour: float = 0.1) -> DataFrame:
     """First value whose running bilateral weight reaches half of the window's; weights exp(-(d^2 / spatial^2 + dc^2 / colour^2)) of the guide ``c``."""
-    near = shifted(grid, _square(radius), ["v", "c"], size)
-    d2 = F.col("di") * F.col("di") + F.col("dj") * F.col("dj")
-    dc = F.col("n_c") - F.col("c")
-    near = near.withColumn("weight", F.exp(-(d2 / (spatial * spatial) + dc * dc / (colour * colour))))
-    run = Window.partitionBy("i", "j").orderBy("n_v", "di", "dj")
-    whole = Window.partitionBy("i", "j")
-    near = near.withColumns({"run": F.sum("weight").over(run), "half": F.sum("weight").over(whole) / 2})
-    return near.where("run >= half").groupBy("i", "j").agg(F.min("n_v").alias("v"))
+    offsets = ring_offsets("quad", radius)
+
+    def medians(rows: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+        near = _near(rows, sources, offsets)
+        dc = near["n_c"] - near["c"]
+        near["weight"] = np.exp(-((near["di"] ** 2 + near["dj"] ** 2) / (spatial * spatial) + dc * dc / (colour * colour)))
+        near = near.dropna(subset="weight").sort_values(["i", "j", "n_v", "di", "dj"], ignore_index=True)
+        run = near.groupby(["i", "j"])["weight"]
+        near = near[run.cumsum() >= run.transform("sum") / 2]
+        return near.drop_duplicates(["i", "j"])[["i", "j", "n_v"]].rename(columns={"n_v": "v"})
+
+    return by_block(grid.select("i", "j", "c"), padded(grid, radius, ["v", "c"], size), radius, medians, "i long, j long, v double")
 
 
 def cross_check(left: DataFrame, right: DataFrame, most: float) -> DataFrame:

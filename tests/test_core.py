@@ -259,3 +259,17 @@ def test_median_by_blocks_without_broadcasts(spark):
     x, rows = image(spark, missing={(5, 5), (0, 1)})
     got = unsent(win.median_filter(x, 2, (70, 66), F.col("v") > 4))
     assert got == {(i, j): float(np.median([n[2] for n in around(rows, i, j, 2, (70, 66))])) if v > 4 else v for (i, j), (v, _) in rows.items()}
+
+
+def test_weighted_median_by_blocks_without_broadcasts(spark):
+    x, rows = image(spark, missing={(5, 5), (0, 1)})
+    want = {}
+    for (i, j), (_, c) in rows.items():
+        near = sorted((n[2], math.exp(-((n[0] ** 2 + n[1] ** 2) / 9 + (n[3] - c) ** 2 / 0.04))) for n in around(rows, i, j, 2, (70, 66)))
+        half, run = sum(w for _, w in near) / 2, 0.0
+        for v, w in near:
+            run += w
+            if run >= half:
+                want[i, j] = v
+                break
+    assert unsent(win.weighted_median_filter(x, 2, (70, 66), 3.0, 0.2)) == want
