@@ -76,12 +76,14 @@ def random_pick(field: DataFrame, cell: Column, share: float, u: Column) -> Data
     return field.where(u < share).select(cell.alias("group"), "i", "j")
 
 
-def joint_moves(field: DataFrame, members: DataFrame, deltas: DataFrame, cost: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def joint_moves(field: DataFrame, members: DataFrame, deltas: DataFrame | None, cost: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Nodes (i, j, v) of a group (group, i, j) move together by the group's delta (group, delta); the group goes back unless its cost falls.
 
-    ``cost`` adds a column cost to (i, j, v) rows. Groups don't share nodes.
+    Without ``deltas``, members (group, i, j, delta) have one each. ``cost`` adds a column cost to (i, j, v) rows. Groups don't share nodes.
     """
-    own = field.join(members, ["i", "j"]).join(deltas, "group")
+    own = field.join(members, ["i", "j"])
+    if deltas is not None:
+        own = own.join(deltas, "group")
     before = cost(own.select("i", "j", "v")).select("i", "j", F.col("cost").alias("before"))
     after = cost(own.select("i", "j", (F.col("v") + F.col("delta")).alias("v"))).select("i", "j", F.col("cost").alias("after"))
     both = own.select("group", "i", "j", "delta").join(before, ["i", "j"]).join(after, ["i", "j"])

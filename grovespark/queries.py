@@ -641,9 +641,9 @@ k AS (SELECT grp, sum(a) < sum(b) AS better FROM m GROUP BY grp) SELECT i, j, CA
 def large_moves(spark, d):
     x, _ = grid(spark, d)
     ci, cj = F.floor(F.col("i") / 8), F.floor(F.col("j") / 8)
-    members = x.select((ci * 1000 + cj).alias("group"), "i", "j")
-    deltas = x.select((ci * 1000 + cj).alias("group"), (((ci + cj) % 5 - 2) * 3.0).alias("delta")).distinct()
-    return search.joint_moves(x.select("i", "j", "v"), members, deltas, _absolute(x))
+    # From 1000 cells on along j several cells have one number: they are one group, whose nodes keep the deltas of their cells.
+    members = x.select((ci * 1000 + cj).alias("group"), "i", "j", (((ci + cj) % 5 - 2) * 3.0).alias("delta"))
+    return search.joint_moves(x.select("i", "j", "v"), members, None, _absolute(x))
 
 
 @query(f"""WITH {G}, c AS (SELECT id AS grp, i, j FROM g WHERE i % 3 = 1 AND j % 3 = 1), o AS (SELECT di, dj FROM range(-1, 2) a(di), range(-1, 2) b(dj)), w AS (SELECT i + di AS i, j + dj AS j, min(grp) AS grp FROM c, o GROUP BY 1, 2),

@@ -273,3 +273,12 @@ def test_weighted_median_by_blocks_without_broadcasts(spark):
                 want[i, j] = v
                 break
     assert unsent(win.weighted_median_filter(x, 2, (70, 66), 3.0, 0.2)) == want
+
+
+def test_large_moves_of_a_high_grid_agree_with_sql(spark, tmp_path):
+    con = duckdb.connect()  # places 0..15 of the rows from 0 and, past 1000 cells, from 8000 on
+    con.sql(f"COPY (SELECT * REPLACE (p_partkey % 640 + k * 320000 AS p_partkey) FROM '{DATA}/part.parquet', range(2) r(k) WHERE p_partkey < 640) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    want = {(i, j): v for i, j, v in con.sql(f"SELECT i, j, v FROM ({core.ORACLE_SQL['large_moves']})").fetchall()}
+    got = core.large_moves(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.i, r.j): r.v for r in got} == want
