@@ -1,4 +1,4 @@
-"""A causal self-attention model over subword ids, in numpy: forward, gradients, Adam.
+"""A causal self-attention model over subword ids, in numpy: forward, gradients, Adam. Whole tables run through :mod:`lm_graph`.
 
 Ids are ranked by corpus frequency. A prediction is a class, by the corpus's
 bigrams and what attention adds to their logits, times the id's share of its
@@ -134,14 +134,18 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].reshape(-1) for k in NAMES])
 
 
-def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
+def _views(v: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, like in start().items():
-        out[k] = v[at : at + like.size].reshape(like.shape).astype(_F)
-        at += like.size
+    for k in NAMES:
+        out[k] = v[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
     return out
 
 
+def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
+    return _views(v.astype(_F), start())
+
+
 _CAUSAL = (np.arange(SPAN)[None] <= np.arange(STRIDE)[:, None] + LEAD).astype(_F)
 
 
@@ -233,20 +237,27 @@ def gradients(p: dict[str, np.ndarray], pairs: np.ndarray, rows: np.ndarray, cls
 
 
 class Adam:
+    """Moves all parameters at once, as views of one vector; both moments are kept without the factors 0.1 and 0.01 of their sums."""
+
     def __init__(self, p: dict[str, np.ndarray], rate: float):
-        self.p, self.rate, self.step = p, rate, 0
-        self.m, self.v = ({k: np.zeros_like(p[k]) for k in NAMES} for _ in range(2))
+        self.all, self.rate, self.step = flat(p), rate, 0
+        self.m, self.v, self.g = (np.zeros_like(self.all) for _ in range(3))
+        self.p, self.into = _views(self.all, p), _views(self.g, p)
 
     def move(self, g: dict[str, np.ndarray]) -> None:
         self.step += 1
         for k, x in g.items():
-            m, v = self.m[k], self.v[k]
-            m *= _F(0.9)
-            m += _F(0.1) * x
-            v *= _F(0.99)
-            x *= x
-            v += _F(0.01) * x
-            root = np.sqrt(v * _F(1 / (1 - 0.99**self.step)), out=x)
-            root += _F(1e-8)
-            self.p[k] -= _F(self.rate / (1 - 0.9**self.step)) * m / root
+            self.into[k][:] = x
+        m, v, x = self.m, self.v, self.g
+        m *= _F(0.9)
+        m += x
+        v *= _F(0.99)
+        x *= x
+        v += x
+        unit = (0.01 / (1 - 0.99**self.step)) ** 0.5
+        np.sqrt(v, out=x)
+        x += _F(1e-8 / unit)
+        np.divide(m, x, out=x)
+        x *= _F(self.rate * 0.1 / (1 - 0.9**self.step) / unit)
+        self.all -= x
         np.clip(self.p["out"], -2, 2, out=self.p["out"])  # what attention adds to a logit is at most 2 * WIDTH

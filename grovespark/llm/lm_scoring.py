@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from grovespark.llm import lm_model as lm
+from grovespark.llm import lm_graph, lm_model as lm
 from grovespark.llm.frames import clean, documents, fold, summed
 from grovespark.llm.textops import LOWER, Slice, blobs, longs, mix, roomy, slices, strings, table_rows, trimmed
 from grovespark.llm.tokens import coder, default_path
@@ -258,7 +258,7 @@ def train(chunks: DataFrame) -> tuple[lm.Ids, lm.Tables, dict[str, np.ndarray]]:
     known = lm.ids_of(got if len(got) else np.zeros(lm.VOCAB, np.int64))
     tables = lm.tables(known, bigrams(own, known))
     params = lm.start()
-    row, cls, pairs = known.row, tables.cls, tables.pairs
+    row, cls, pairs = known.row.astype(np.int64), tables.cls.astype(np.int64), tables.pairs
     for turn in range(ROUNDS):
         now = params
 
@@ -272,7 +272,7 @@ def train(chunks: DataFrame) -> tuple[lm.Ids, lm.Tables, dict[str, np.ndarray]]:
                 end = len(rows) if last else len(rows) // BATCH * BATCH
                 for lo in range(0, end, BATCH):
                     k = slice(lo, min(lo + BATCH, end))
-                    adam.move(lm.gradients(adam.p, pairs, rows[k], aims[k], valid[k]))
+                    adam.move(lm_graph.gradients(adam.p, pairs, rows[k], aims[k], valid[k]))
                 return [w[end:] for w in windows]
 
             for chunk, docs, sizes, ids in _texts(batches):
@@ -304,7 +304,7 @@ def log_scores(known: lm.Ids, tables: lm.Tables, params: dict[str, np.ndarray],
     total = np.zeros(len(sizes))
     for part, n, own in _some(sizes, ids):
         text = lm.padded(own, n)
-        rows, cls = known.row[text], tables.cls[text]
+        rows, cls = known.row.astype(np.int64)[text], tables.cls.astype(np.int64)[text]
         rows[0] = lm.PAD
         column = np.minimum(known.column[text], lm.HEAD)
         share = tables.share[text] + tables.inner[np.roll(rows, 1), column]  # of an id in its class, after the id before it
@@ -313,7 +313,7 @@ def log_scores(known: lm.Ids, tables: lm.Tables, params: dict[str, np.ndarray],
         for lo in range(0, len(inputs), BLOCK):
             k = slice(lo, lo + BLOCK)
             aim = aims[k]
-            logs = lm.log_classes(params, tables.pairs, rows[inputs[k]], cls[aim]) + share[aim]
+            logs = lm_graph.log_classes(params, tables.pairs, rows[inputs[k]], cls[aim]) + share[aim]
             each[k] = np.where(aim > 0, logs, 0).sum(1, dtype=np.float64)
         total[part] = np.bincount(of, each, len(n))
     return total
